@@ -22,13 +22,13 @@ from .common import n_tasks
 from .words import slices
 
 #: Bytes of a window, and windows of a neighbourhood; a power of two.
-WINDOW = 32
+WINDOW = 16
 #: Neighbourhoods whose best a window must be to be a feature.
-POPULAR = 12
+POPULAR = 8
 #: Bits of a filter, features that it takes, and bits set for each.
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
 #: Entropy of windows of prose, in bits: mean, standard deviation, and the least that counts.
-MEAN, DEVIATION, LEAST = 3.9, 0.25, 1.5
+MEAN, DEVIATION, LEAST = 3.3, 0.25, 1.0
 LEVELS = 1000
 _SCALE = 1 << 16
 _CLOG = np.array([0, *(round(_SCALE * c * np.log2(c)) for c in range(1, WINDOW + 2))], np.int64)
