@@ -6,7 +6,7 @@ vector's projection, and each shard of vectors keeps one sorted array for each l
 windows centred on its own projections grow by virtual rehashing, a factor of GROWTH a round; a vector
 that falls into the windows of at least THRESHOLD of the lines is verified by its true inner
 product.  A query is done when its k-th best is nearer than the windows' radius, or when a share
-of SHARE of the shard, and k more, have been verified.
+of SHARE of the shard, and at least VERIFIED, have been verified.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import n_tasks
 
-PROJECTIONS = 32
+PROJECTIONS = 48
 #: Half a window for a radius of 1, and the share of lines on which a vector must collide.
 HALF_WINDOW, THRESHOLD = 1.36, 0.65
-GROWTH, FIRST_RADIUS = 1.25, 0.6
-SHARE = 0.35
+GROWTH, FIRST_RADIUS = 1.2, 0.7
+SHARE, VERIFIED = 0.25, 1000
 #: Vectors of a shard: at most, and at least where tasks would be idle.
 MOST, LEAST = 1 << 18, 1 << 13
 QUERIES_AT_ONCE = 64
@@ -39,7 +39,7 @@ class CollisionIndex:
         self.lines = np.random.default_rng(seed).standard_normal((d + 1, PROJECTIONS))
         rest = np.sqrt(np.maximum(norm**2 - (vectors**2).sum(axis=1), 0))
         hashes = vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]
-        self.order = np.argsort(hashes, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(hashes, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(hashes.T, self.order, axis=1)
         self.norm = norm
 
@@ -47,7 +47,7 @@ class CollisionIndex:
         """(query id, ids, inner products) of the k best that were verified, best first."""
         centre = queries @ self.lines[:-1]
         lengths, n = (queries**2).sum(axis=1), len(self.ids)
-        needed, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), int(SHARE * n) + k
+        needed, enough = int(np.ceil(THRESHOLD * PROJECTIONS)), max(int(SHARE * n), VERIFIED) + k
         counts = np.zeros((len(queries), n), np.uint8)
         lo = np.stack([np.searchsorted(s, c) for s, c in zip(self.sorted, centre.T)])
         hi = lo.copy()
