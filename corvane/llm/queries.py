@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, language_id, line_dedup, nearest
+from . import bpe, chat_format, fingerprint, language_id, line_dedup, nearest, ngram_join
 from .common import table, tokenizer_path
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
@@ -57,8 +57,12 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_chat_format, op7_bpe, op9_nearest)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_chat_format, op7_bpe, op9_nearest, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
