@@ -440,3 +440,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rooted = classes.join(components(links), F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("class", "component_id")
     return table.join(named, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each component the rows with its least doc_id stay, with all columns.
+
+    Rows without a doc_id, and documents without a word, stay.
+    """
+    found = near_duplicates(docs)
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")

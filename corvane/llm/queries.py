@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, fingerprint, language_id, line_dedup, nearest, ngram_join
+from . import bpe, chat_format, fingerprint, language_id, line_dedup, nearest, ngram_join, token_counts
 from .common import table, tokenizer_path
 from .packing import pack_documents
 from .token_files import read_token_files, write_token_files
@@ -52,6 +52,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
@@ -62,7 +73,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_chat_format, op7_bpe, op9_nearest, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_token_files, op2_fingerprints, op3_best_fit_packing, op4_line_dedup, op5_language_id, op6_chat_format, op7_bpe, op8_token_counts, op9_nearest, op10_ngram_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
