@@ -94,12 +94,12 @@ def supporting_chunks(paths: DataFrame, relations: DataFrame, chunks: DataFrame,
 
 def multi_hop(ws: Workspace, request: QueryRequest, vector) -> tuple[Context, DataFrame | None]:
     """MIX as seeds, and the best paths from them; no paths where none is good enough."""
-    seed = mix(ws, request, vector)
+    seed = mix(ws, request, vector).kept()
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "id"))
     starts = seed.entities.orderBy(F.desc("score"), "id").limit(max(1, request.path_top_k)).select("id", rank.alias("rank"))
     ranked = score(expand(ws.relations, starts, request.max_hop), seed.entities, seed.relations, request.query, request.max_hop)
-    best = ranked.where(F.col("rank") <= request.path_top_k)
-    top = ranked.where("rank = 1").select("score", "hops", F.size("chunk_ids").alias("n")).collect()
+    best = ranked.where(F.col("rank") <= request.path_top_k).persist()
+    top = best.where("rank = 1").select("score", "hops", F.size("chunk_ids").alias("n")).collect()
     if not top or top[0].score < LEAST_PATH_SCORE or top[0].n < top[0].hops:
         return seed, None
     chunks = supporting_chunks(best, ws.relations, ws.chunks, seed.chunks)

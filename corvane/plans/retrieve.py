@@ -74,12 +74,16 @@ class Workspace:
 
 @dataclass
 class Context:
-    """Scored entities, relations and chunks."""
+    """Scored entities, relations and chunks; each within its budget."""
 
     entities: DataFrame
     relations: DataFrame
     chunks: DataFrame
 
+    def kept(self) -> Context:
+        """The same, computed once however often it is used."""
+        return Context(self.entities.persist(), self.relations.persist(), self.chunks.persist())
+
 
 def _search(ws: Workspace, namespace: str, vector: Sequence[float], text: str, keywords: Sequence[str], k: int) -> DataFrame:
     spec = SearchSpec("q", namespace, vector, text, merge_keywords(keywords, []), k)
