@@ -69,8 +69,11 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 def gather(ids: list[bytes], at: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The id lists of the words at[0], at[1], ... joined, and the number of ids of each text."""
     lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-    table = np.frombuffer(b"".join(ids), "<u4")
-    begin = np.cumsum(lens) - lens
+    return gather_flat(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lens) - lens, lens, at, n_words)
+
+
+def gather_flat(table: np.ndarray, begin: np.ndarray, lens: np.ndarray, at: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As gather, of words whose ids lie in one array."""
     each = lens[at]
     ends = np.concatenate([[0], np.cumsum(each)])
     index = np.repeat(begin[at] - ends[:-1], each) + np.arange(ends[-1])
