@@ -100,7 +100,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    return Workspace(chunks(spark, sf_dir), entities(spark, sf_dir), relations(spark, sf_dir), vectors(spark, sf_dir))
+    """The tables of a stored workspace, here made from the star schema; the graph is made once for all that a query asks of it."""
+    return Workspace(chunks(spark, sf_dir), entities(spark, sf_dir).persist(), relations(spark, sf_dir).persist(), vectors(spark, sf_dir))
 
 
 def asked_vector(spark: SparkSession, sf_dir: str, vec_id: int = ASKED) -> list[float]:
