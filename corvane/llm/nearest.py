@@ -84,11 +84,13 @@ class CollisionIndex:
             open_, radius = np.array(left, np.int64), radius * GROWTH
         for q in range(len(queries)):
             own = np.flatnonzero((scores[q] > -np.inf) & (self.ids != query_ids[q]))
-            if len(own) > 4 * k:  # all that tie with the k-th stay
+            if len(own) > k:  # all that tie with the k-th stay, but for rounding
                 kth = np.partition(scores[q, own], len(own) - k)[len(own) - k]
-                own = own[scores[q, own] >= kth]
-            best = own[np.lexsort((self.ids[own], -scores[q, own]))][:k]
-            yield query_ids[q], self.ids[best], scores[q, best]
+                own = own[scores[q, own] >= kth - 1e-9 * max(1.0, abs(kth))]
+            # summed row by row, so equal vectors have equal scores
+            exact = (self.vectors[own] * queries[q]).sum(axis=1)
+            order = np.lexsort((self.ids[own], -exact))[:k]
+            yield query_ids[q], self.ids[own[order]], exact[order]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
