@@ -43,23 +43,24 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     empty texts are one empty line.  Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    lines = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    keys = lines.select("doc_id", "text_hash", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= min_chars)
+    split = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
+    lines = split.select("doc_id", "text_hash", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    keys = lines.select("doc_id", "text_hash", "n", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= min_chars)
     key = ascii_lower(F.col("key"))
-    hashed = keys.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", "text_hash", "pos")
+    hashed = keys.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", "text_hash", "n", "pos")
     ranged = hashed.repartitionByRange(n_tasks(docs.sparkSession), "h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     # the ranges hold each (h1, h2, doc_id) together, so this streams without another exchange
-    first = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "pos")).alias("places"))
+    first = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "n", "pos")).alias("places"))
     often = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
     salted = often.select("h1", "h2", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     own = first.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
     lost = own.join(salted, ["h1", "h2", "salt"]).where("doc_id <> holder")
-    flat = lost.select("doc_id", F.inline("places")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("lost"))
+    flat = lost.select("doc_id", F.inline("places")).groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("pos")).alias("lost"))
     starts = F.filter("lost", lambda x, i: (i == 0) | (F.try_element_at("lost", i) != x - 1))
     ends = F.filter("lost", lambda x, i: (i == F.size("lost") - 1) | (F.try_element_at("lost", i + 2) != x + 1))
-    runs = flat.select("doc_id", F.col("text_hash").alias("__text_hash"), F.size("lost").alias("n_dropped"), starts.alias("starts"), ends.alias("ends"))
+    runs = flat.select("doc_id", "n", F.col("text_hash").alias("__text_hash"), F.size("lost").alias("n_dropped"), starts.alias("starts"), ends.alias("ends"))
     between = F.zip_with(
-        F.concat(F.array(F.lit(-1)), "ends"), F.concat("starts", F.array(F.lit(1 << 30))),
+        F.concat(F.array(F.lit(-1)), "ends"), F.concat("starts", F.array("n")),
         lambda end, start: F.struct((end + 1).alias("first"), (start - end - 1).alias("length")),
     )
     return runs.select("doc_id", "__text_hash", "n_dropped", F.filter(between, lambda r: r["length"] > 0).alias("kept"))
