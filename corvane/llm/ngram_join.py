@@ -6,15 +6,20 @@ share one of their first few shingles (their prefix), so only documents with a c
 be linked.  Documents with equal sets are one class from the start.
 
     1. which shingles are frequent: counts above a batch's threshold, summed over all batches
-    2. each document's class, and its prefix; both written once to the shared folder
-    3. prefix shingles held by several classes tie these into candidate groups
-    4. the sets of candidate classes go, once each, to their group, where a trie of the sets is
-       searched with every set; a group too large for a task is cut into chunks, each pair of
-       chunks a task, and chunk pairs of too different sizes are left out
+    2. each document's class, prefix and sketch; written once to the shared folder
+    3. of prefix shingles that several classes hold, those that tie a class to another by most of
+       its prefix are tried first: the sets of such groups go, once each, to their group, where a trie
+       of the sets is searched with every set, and what is linked becomes one component
+    4. in what prefix shingles still join different components, sketches bound the overlap of every
+       pair from above; pairs that may link go to such tries as well
     5. links make components
 
-Only the frequent shingles (a table of at most FREQUENT, which affects the order alone, never the
-result) and a Bloom filter of fixed size (whose false positives only carry more sets) are broadcast.
+A group too large for a task is cut into chunks, and each pair of chunks is a task.  A sketch counts
+a set's shingles by buckets of their hashes, in about a byte for each two shingles; the sum of
+the lesser counts is an upper bound of an overlap, so no link is lost.
+
+Only the frequent shingles are broadcast (a table of at most FREQUENT, which affects the order
+alone, never the result).
 """
 
 from __future__ import annotations
@@ -33,10 +38,13 @@ from .words import slices
 #: Words of a shingle, and the least similarity, in percent.
 WORDS, PERCENT = 5, 75
 #: A shingle counts as frequent in a batch of documents from so many on; over all, so many are ordered last.
-LOCAL, FREQUENT = 3, 1 << 20
+LOCAL, FREQUENT = 3, 1 << 18
 #: Shingles of the sets in a chunk of a candidate group.
 CHUNK = 4 << 20
-BLOOM_BITS = 1 << 25
+#: Edges that one task may join, 16 bytes each.
+FEW_EDGES = 1 << 20
+#: Members of a prefix shingle's group whose sketches are compared in a task.
+MEMBERS = 2000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -155,33 +163,33 @@ class Trie:
     """Sets in one order of their items, as a prefix tree: sets with the same first items share a path,
     so an overlap with the path is counted once for all of them.
 
-    Chains without a branch are one edge.  A node knows the least size of the sets under it
-    and the most items that are still to come, which bound what an overlap must and can become.
+    Chains without a branch are one edge.  A node knows the least and the largest size of the sets under
+    it and the most items that are still to come, which bound what an overlap must and can become.
     """
 
-    __slots__ = ("edge", "children", "least", "rest", "ends")
+    __slots__ = ("edge", "children", "least", "most", "rest", "ends")
 
-    def __init__(self, edge: tuple = (), least: int = 1 << 60, rest: int = 0):
-        self.edge, self.children, self.least, self.rest, self.ends = edge, {}, least, rest, []
+    def __init__(self, edge: tuple = (), least: int = 1 << 60, most: int = 0, rest: int = 0):
+        self.edge, self.children, self.least, self.most, self.rest, self.ends = edge, {}, least, most, rest, []
 
     def insert(self, items: tuple, size: int, name: int) -> None:
         """A set of `size`, of which `items` may be shared with others."""
         node, at = self, 0
         while True:
-            node.least, node.rest = min(node.least, size), max(node.rest, len(items) - at + len(node.edge))
+            node.least, node.most, node.rest = min(node.least, size), max(node.most, size), max(node.rest, len(items) - at + len(node.edge))
             if at == len(items):
                 node.ends.append((name, size))
                 return
             child = node.children.get(items[at])
             if child is None:
-                node.children[items[at]] = child = Trie(items[at:], size, len(items) - at)
+                node.children[items[at]] = child = Trie(items[at:], size, size, len(items) - at)
                 child.ends.append((name, size))
                 return
             edge, k = child.edge, 0
             while k < len(edge) and at + k < len(items) and edge[k] == items[at + k]:
                 k += 1
             if k < len(edge):  # the edge is cut where the two part
-                upper = Trie(edge[:k], child.least, child.rest)
+                upper = Trie(edge[:k], child.least, child.most, child.rest)
                 upper.children[edge[k]] = child
                 child.edge, child.rest = edge[k:], child.rest - k
                 node.children[items[at]] = child = upper
@@ -194,6 +202,8 @@ class Trie:
         stack = [(self, 0, 0)]
         while stack:
             node, common, used = stack.pop()
+            if node.most < floor or percent * node.least > 100 * size:
+                continue
             # a set under the node overlaps by so much at least, if it links
             need, rest = least_common(size, max(node.least, floor), percent), node.rest
             for x in node.edge:
@@ -211,13 +221,13 @@ class Trie:
                     stack += [(c, common, used) for c in node.children.values()]
 
 
-def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+def join_sets(sets: list[np.ndarray], roots: list | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (i, j) that join all sets that are linked, directly or by way of others.
 
-    Sets hold distinct shingles in the order of all documents.  They come in by size; each meets those
-    that hold a shingle of its prefix.  One member of every component met is tried first; only if
-    it fails is the trie of all sets searched, which finds every link.  No link between
-    components is missed; links within one are not needed.
+    Sets hold distinct shingles in the order of all documents; sets of one root are joined
+    already.  They come in by size; each meets those that hold a shingle of its prefix.  One member of
+    every component met is tried first; only if it fails, and a bound leaves room for a link, are the
+    component's tries searched, which finds every link.  No link between components is missed; links within one are not needed.
     """
     sizes = np.array([len(s) for s in sets])
     if len(sets) < 2:
@@ -233,10 +243,21 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
         first = own[: prefix_length(b - a, percent)]
         prefixes.append(first[df[first] > 1].tolist())
         shared.append(np.sort(rank[own[df[own] > 1]]))
+    # the lesser counts by buckets of hashes bound an overlap from above
+    bits = max(0, int(np.median(sizes)).bit_length() - 1)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    bucket = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
+    counts = np.bincount(owner << bits | bucket, minlength=len(sets) << bits).reshape(len(sets), -1)
+    counts = counts.astype(np.min_scalar_type(int(counts.max())))
     parent, find = union_find(len(sets))
+    first: dict = {}
+    for i, root in enumerate(roots or ()):
+        parent[i] = first.setdefault(root, i)
     held: dict[int, set[int]] = {}
-    hub = list(range(len(sets)))
-    trie, links = Trie(), []
+    hub: dict[int, int] = {}
+    tries: dict[int, list[Trie]] = {}
+    label = np.full(len(sets), len(sets))  # of sets that came in: their component
+    links: list[tuple[int, int]] = []
 
     def link(i: int, j: int) -> None:
         a, b = find(i), find(j)
@@ -244,31 +265,45 @@ def join_sets(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int,
             links.append((i, j))
             parent[a] = b
             hub[b] = j
+            tries.setdefault(b, []).extend(tries.pop(a, ()))
+            label[label == a] = b
+
+    def may(i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others may link with i."""
+        fit = others[100 * sizes[others] >= percent * sizes[i]]
+        most = np.concatenate([np.minimum(counts[p], counts[i]).sum(axis=1, dtype=np.int64) for p in np.array_split(fit, max(1, len(fit) >> 11))])
+        return fit[(100 + percent) * most >= percent * (sizes[fit] + sizes[i])]
 
     for i in np.argsort(sizes, kind="stable").tolist():
-        size, failed = int(sizes[i]), set()
+        size, met = int(sizes[i]), set()
         for x in prefixes[i]:
-            roots = held.get(x)
-            if not roots:
-                continue
-            now = {find(r) for r in roots}
-            if len(now) < len(roots):
-                held[x] = now
-            for r in now:
-                if r in failed or r == find(i):
-                    continue
-                j = hub[r]
-                if 100 * size * percent <= 10000 * sizes[j] and len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= least_common(size, int(sizes[j]), percent):
-                    link(i, j)
-                else:
-                    failed.add(r)
+            if own := held.get(x):
+                now = {find(r) for r in own}
+                if len(now) < len(own):
+                    held[x] = now
+                met |= now
+        met.discard(find(i))
         items = tuple(shared[i].tolist())
-        if any(find(r) != find(i) for r in failed):
-            for j in trie.search(items, size, percent):
-                link(i, j)
-        trie.insert(items, size, i)
+        if met:
+            for j in may(i, np.array([hub[r] for r in met])).tolist():
+                if find(j) != find(i) and len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= least_common(size, int(sizes[j]), percent):
+                    link(i, j)
+            asked = np.zeros(len(sets) + 1, bool)
+            asked[[r for r in {find(r) for r in met} if r != find(i)]] = True
+            if asked.any():
+                for r in np.unique(label[may(i, np.flatnonzero(asked[label]))]).tolist():
+                    if find(r) != find(i):
+                        for j in next((found for t in tries.get(find(r), ()) if (found := list(t.search(items, size, percent)))), ()):
+                            link(i, j)
+        own = find(i)
+        label[i] = own
+        hub.setdefault(own, i)
+        mine = tries.setdefault(own, [])
+        if not mine:
+            mine.append(Trie())
+        mine[0].insert(items, size, i)
         for x in prefixes[i]:
-            held.setdefault(x, set()).add(find(i))
+            held.setdefault(x, set()).add(own)
     return links
 
 
@@ -322,8 +357,8 @@ def frequent_shingles(rows: DataFrame) -> GlobalOrder:
 def components(edges: DataFrame) -> DataFrame:
     """The connected components of edges (a, b): node and root, the component's least node.
 
-    Alternates large and small stars until nothing changes; each round is written to the shared
-    folder, so a lost executor repeats no earlier one.
+    Alternates large and small stars until nothing changes, or until FEW_EDGES are left, which one task
+    joins.  Each round is written to the shared folder, so a lost executor repeats no earlier one.
     """
     spark = edges.sparkSession
 
@@ -343,25 +378,74 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.bit_xor(F.xxhash64("a", "b"))).collect()[0])
 
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = [np.stack([c.to_numpy() for c in b.columns], axis=1) for b in batches if b.num_rows]
+        if pairs:
+            nodes, code = np.unique(np.concatenate(pairs), return_inverse=True)
+            parent, find = union_find(len(nodes))
+            for a, b in code.reshape(-1, 2).tolist():
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[[find(i) for i in range(len(nodes))]])], names=["node", "root"])
+
     now = written(edges.where("a <> b").distinct(), "edges")
     seen = state(now)
-    while seen[0]:
+    while seen[0] > FEW_EDGES:
         now = written(stars(stars(now, True), False), "edges")
         seen, before = state(now), seen
         if seen == before:
             break
+    else:
+        return written(now.repartition(1).mapInArrow(joined, "node long, root long"), "components")
     found = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
     return found.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared) -> DataFrame:
-    """Links (a, b) between classes, enough to join all that are linked."""
+def sketch(shingles: np.ndarray) -> bytes:
+    """Counts of a set's shingles by the upper bits of their hashes, in a power of two of buckets: half the set's size or less."""
+    bits = max(0, int(len(shingles)).bit_length() - 2)
+    bucket = (shingles >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(shingles), np.int64)
+    return np.minimum(np.bincount(bucket, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(names: list, sizes: np.ndarray, roots: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> Iterator[tuple]:
+    """Pairs of different roots whose sketches allow a link, enough to join all that such pairs join: fewer pairs than names.
+
+    A full counter, 255, stands for any number.
+    """
+    order = np.argsort(sizes, kind="stable")
+    rows = [np.frombuffer(sketches[i], np.uint8).astype(np.int64) for i in order]
+    rows = [np.where(r == 255, 1 << 20, r) for r in rows]
+    sizes, roots = sizes[order], roots[order]
+    held: dict[int, list] = {}
+    tree = np.arange(len(names))
+    for k, (row, size) in enumerate(zip(rows, sizes.tolist())):
+        width = len(row)
+        for w in (width, width // 2):
+            if w in held:
+                at = np.array(held[w])
+                at = at[(100 * sizes[at] >= percent * size) & (roots[at] != roots[k])]
+                if len(at):
+                    mine = row if w == width else row.reshape(w, -1).sum(axis=1)
+                    most = np.minimum(np.stack([rows[j] for j in at]), mine).sum(axis=1)
+                    near = at[(100 + percent) * most >= percent * (sizes[at] + size)]
+                    for t in np.unique(tree[near]).tolist():
+                        if t != tree[k]:
+                            yield names[order[near[tree[near] == t][0]]], names[order[k]]
+                    tree[np.isin(tree, tree[near])] = tree[k]
+        held.setdefault(width, []).append(k)
+
+
+def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) between classes of one group, enough to join all that are linked; known: (class, part) of those joined already."""
     spark = rows.sparkSession
     reps = table.where("class <> 0").join(groups, F.col("class") == F.col("node")).groupBy("class", "root").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
     reps = written(reps, "candidates")
     chunks = reps.groupBy("root").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks"))
-    wanted = reps.join(chunks, "root").select("id", "class", "root", "chunks")
-    fetched = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select("class", "root", "chunks", "text")
+    wanted = reps.join(chunks, "root")
+    wanted = wanted.join(known, "class", "left") if known is not None else wanted.withColumn("part", F.lit(None).cast("long"))
+    wanted = wanted.select("id", "class", "root", "chunks", F.coalesce("part", "class").alias("part"))
+    fetched = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"] == wanted["id"]).select("class", "root", "chunks", "text", "part")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
@@ -373,37 +457,42 @@ def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared) -> Data
                 same = signatures(shingles, sizes) == part.column(0).to_numpy()
                 raw, ends = order.arrange(shingles, sizes).tobytes(), np.cumsum(sizes) * 8
                 held = pa.array([raw[e - 8 * k : e] for e, k in zip(ends.tolist(), sizes.tolist())], pa.binary())
-                out = pa.RecordBatch.from_arrays([*part.columns[:3], held], names=["class", "root", "chunks", "shingles"])
+                out = pa.RecordBatch.from_arrays([*part.columns[:3], part.column(4), held], names=["class", "root", "chunks", "part", "shingles"])
                 yield out.filter(pa.array(same))
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, own = None, [], []
+        key, names, own, parts = None, [], [], []
 
         def links():
-            found = join_sets(own)
+            found = join_sets(own, parts)
             a, b = (pa.array([names[p[k]] for p in found], pa.int64()) for k in (0, 1))
             return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
-            for root, i, j, name, held in zip(*(c.to_pylist() for c in batch.columns)):
+            for root, i, j, name, part, held in zip(*(c.to_pylist() for c in batch.columns)):
                 if (root, i, j) != key:
                     if len(own) > 1:
                         yield links()
-                    key, names, own = (root, i, j), [], []
+                    key, names, own, parts = (root, i, j), [], [], []
                 if not names or names[-1] != name:  # sorted by name: copies stand together
                     names.append(name)
+                    parts.append(part)
                     own.append(np.frombuffer(held, np.uint64))
         if len(own) > 1:
             yield links()
 
-    mine = F.pmod(F.hash("class"), F.col("chunks"))
-    others = F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: (x != mine) | (F.col("chunks") == 1))
-    pairs = F.transform(others, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
-    dealt = fetched.mapInArrow(sets, "class long, root long, chunks int, shingles binary").select("root", "class", "shingles", F.explode(pairs).alias("p"))
-    keyed = dealt.select("root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "class", "shingles").repartition(n_tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "class")
+    pairs = _chunk_pairs(F.pmod(F.hash("class"), F.col("chunks")), F.col("chunks"))
+    dealt = fetched.mapInArrow(sets, "class long, root long, chunks int, part long, shingles binary").select("root", "class", "part", "shingles", F.explode(pairs).alias("p"))
+    keyed = dealt.select("root", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "class", "part", "shingles").repartition(n_tasks(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j", "class")
     return keyed.mapInArrow(joined, "a long, b long").distinct()
 
 
+def _chunk_pairs(mine, chunks):
+    """The pairs of chunks that a member of chunk `mine` belongs to; (0, 0) where there is one chunk."""
+    others = F.filter(F.sequence(F.lit(0), chunks - 1), lambda x: (x != mine) | (chunks == 1))
+    return F.transform(others, lambda x: F.struct(F.least(x, mine).alias("i"), F.greatest(x, mine).alias("j")))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, the least doc_id that links reach.
 
@@ -423,19 +512,61 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 shingles, sizes = shingle_sets(batch.column(1).slice(a, n))
                 classes, arranged = signatures(shingles, sizes), order.arrange(shingles, sizes)
                 classes[batch.column(0).slice(a, n).is_null().to_numpy(zero_copy_only=False)] = 0
-                starts, heads = np.cumsum(sizes) - sizes, []
+                starts, heads, sketches = np.cumsum(sizes) - sizes, [], []
                 for s, size, c in zip(starts.tolist(), sizes.tolist(), classes.tolist()):
                     # copies in one task need no prefix of their own
-                    heads.append(arranged[s : s + prefix_length(size)].view(np.int64) if c and c not in seen else None)
+                    new = c and c not in seen
+                    heads.append(arranged[s : s + prefix_length(size)].view(np.int64) if new else None)
+                    sketches.append(sketch(shingles[s : s + size]) if new else None)
                     if len(seen) < 1_000_000:
                         seen.add(c)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, n), "n": pa.array(sizes, pa.int32()), "class": pa.array(classes), "prefix": pa.array(heads, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, n), "n": pa.array(sizes, pa.int32()), "class": pa.array(classes), "prefix": pa.array(heads, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
-    table = written(rows.mapInArrow(prefixes, "doc_id long, n int, class long, prefix array<bigint>"), "prefixes")
+    table = written(rows.mapInArrow(prefixes, "doc_id long, n int, class long, prefix array<bigint>, sketch binary"), "prefixes")
     tokens = table.where("prefix IS NOT NULL").select("class", F.explode("prefix").alias("token")).repartition(n_tasks(spark), "token")
     low = tokens.groupBy("token").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b < top")
-    edges = tokens.join(low, "token").select(F.col("class").alias("a"), "b").where("a <> b").distinct()
-    links = _links(rows, table, components(edges), shared)
+    shared_tokens = written(tokens.join(low, "token").select("token", "class", "b"), "tokens")
+    known = table.where("prefix IS NOT NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    votes = shared_tokens.where("class <> b").groupBy("class", "b").agg(F.count(F.lit(1)).alias("votes"))
+    least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    strong = votes.join(known.select("class", "n"), "class").where(2 * F.col("votes") >= least).select(F.col("class").alias("a"), "b")
+    first = written(_links(rows, table, components(strong), shared), "links")
+    joined = components(first).select(F.col("node").alias("class"), "root")
+    members = shared_tokens.join(joined, "class", "left").select("token", "class", F.coalesce("root", "class").alias("root"))
+    mixed = members.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("class")).alias("h1"), F.sum(F.hash("class").cast("long")).alias("h2"),
+    ).where("low < high")
+    # shingles held by the same classes ask the same, so one of them is enough
+    asked = mixed.groupBy("h1", "h2", "size").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / MEMBERS).cast("int").alias("chunks"))
+    mine = F.pmod(F.hash("class"), F.col("chunks"))
+    own = members.join(asked, "token").join(known, "class").select("token", "class", "root", "n", "sketch", F.explode(_chunk_pairs(mine, F.col("chunks"))).alias("p"))
+    dealt = own.select("token", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "class", "root", "n", "sketch").repartition(n_tasks(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], set()
+
+        def flush() -> None:
+            names, roots, sizes, sketches = zip(*held)
+            out.update((min(a, b), max(a, b)) for a, b in may_link(names, np.array(sizes), np.array(roots), sketches))
+
+        for batch in batches:
+            for token, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (token, i, j) != key:
+                    if len(held) > 1:
+                        flush()
+                    key, held = (token, i, j), []
+                held.append(row)
+            a, b = (pa.array([p[k] for p in out], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            out = set()
+        if len(held) > 1:
+            flush()
+            a, b = (pa.array([p[k] for p in out], pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    more = _links(rows, table, components(dealt.mapInArrow(bounded, "a long, b long")), shared, joined.withColumnRenamed("root", "part"))
+    links = first.unionByName(more)
     classes = table.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(components(links), F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("class", "component_id")
