@@ -22,8 +22,8 @@ from .words import slices
 MARK = "▁"
 #: How much less likely than the least likely piece a byte of an unknown character is.
 UNKNOWN = 10.0
-#: Nodes of a trie; a larger one is dropped and begun anew, which changes no count.
-NODES = 600_000
+#: Counts that a worker remembers; it forgets all of them when there are more.
+TOKENS = 500_000
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -44,14 +44,6 @@ def piece_model_scores(path: str) -> dict[str, float]:
     return zipf_scores([model.id_to_piece(i) for i in plain])
 
 
-class Node:
-    __slots__ = ("children", "score", "tokens", "up", "char", "depth")
-
-    def __init__(self, up: Node | None, char: str, depth: int):
-        self.children, self.up, self.char, self.depth = {}, up, char, depth
-        self.score, self.tokens = 0.0, 0
-
-
 class UnigramTrie:
     """Counts the tokens of pre-tokens.
 
@@ -62,59 +54,74 @@ class UnigramTrie:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
         self.least = min(scores.values(), default=0.0) - UNKNOWN
-        self.root, self.nodes = Node(None, "", 0), 1
-
-    def count(self, token: str) -> int:
-        node = self.root
-        for c in token:
-            child = node.children.get(c)
-            if child is None:
-                child = node.children[c] = self._grow(node, c)
-            node = child
-        return node.tokens
-
-    def _grow(self, up: Node, char: str) -> Node:
-        """The node after `up`, with the best of all pieces that end there."""
-        self.nodes += 1
-        new = Node(up, char, up.depth + 1)
-        get, piece, at = self.scores.get, char, up
-        best, fewest = -math.inf, 0
-        for _ in range(min(self.longest, new.depth)):
-            s = get(piece)
-            if s is not None:
-                s += at.score
-                if s > best or (s == best and at.tokens + 1 < fewest):
-                    best, fewest = s, at.tokens + 1
-            piece = at.char + piece
-            at = at.up or at
-        if get(char) is None:
-            size = len(char.encode("utf-8", "surrogatepass"))
-            s = up.score + size * self.least
-            if s > best or (s == best and up.tokens + size < fewest):
-                best, fewest = s, up.tokens + size
-        new.score, new.tokens = best, fewest
-        return new
+        # pieces from their last character to their first; "" holds a piece's score
+        self.back: dict = {}
+        for piece, score in scores.items():
+            at = self.back
+            for c in reversed(piece):
+                at = at.setdefault(c, {})
+            at[""] = score
+
+    def counts(self, tokens: list[str], mark: str = MARK) -> dict[str, int]:
+        """The count of each pre-token, led by the mark.
+
+        Sorted pre-tokens are their trie in depth-first order: `score[d]` and `used[d]` belong to the
+        node at depth d of the present path, and stay while the next pre-token shares it, so each
+        node of the trie is computed once and only a path of them is held.
+        """
+        score, used, out, before = [0.0], [0], {}, ""
+        back, scores = self.back, self.scores
+        for own in sorted(set(tokens)):
+            token, d = mark + own, 0
+            for x, y in zip(token, before):
+                if x != y:
+                    break
+                d += 1
+            del score[d + 1 :], used[d + 1 :]
+            for d in range(d, len(token)):  # the node after character d
+                best, fewest, at = -math.inf, 0, d
+                pieces = back.get(token[d])
+                while pieces is not None:
+                    s = pieces.get("")
+                    if s is not None:
+                        s += score[at]
+                        if s > best or (s == best and used[at] + 1 < fewest):
+                            best, fewest = s, used[at] + 1
+                    if not at:
+                        break
+                    at -= 1
+                    pieces = pieces.get(token[at])
+                if token[d] not in scores:
+                    size = len(token[d].encode("utf-8", "surrogatepass"))
+                    s = score[d] + size * self.least
+                    if s > best or (s == best and used[d] + size < fewest):
+                        best, fewest = s, used[d] + size
+                score.append(best)
+                used.append(fewest)
+            out[own] = used[-1]
+            before = token
+        return out
 
 
 @lru_cache(maxsize=2)
-def _trie(path: str) -> list[UnigramTrie]:
-    return [UnigramTrie(piece_model_scores(path))]
+def _trie(path: str) -> tuple[UnigramTrie, dict[str, int]]:
+    """A worker's model, and the counts that it remembers."""
+    return UnigramTrie(piece_model_scores(path)), {}
 
 
 def count_tokens(docs: DataFrame, model: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with a last column of token counts: each text is cut at white space, each pre-token begins with MARK.
 
     Null and empty texts and texts of white space count 0; all rows stay; a column of that name is
-    replaced.  Tasks see a batch's distinct pre-tokens only, and keep their trie between batches
-    up to NODES nodes, so memory is bounded.
+    replaced.  Tasks see a batch's distinct pre-tokens only, and remember at most TOKENS counts between
+    batches, so memory is bounded.
     """
     kept = [c for c in docs.columns if c != out]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _trie(model)
+        trie, known = _trie(model)
         for batch in batches:
             for a, n in slices(batch.column(at)):
                 part = batch.slice(a, n)
@@ -124,10 +131,11 @@ def count_tokens(docs: DataFrame, model: str, text_col: str = "text", out: str =
                 full = pc.not_equal(flat, pa.scalar("", pa.large_string()))
                 owner = lists.value_parent_indices().to_numpy()[full.to_numpy(zero_copy_only=False)]
                 coded = flat.filter(full).dictionary_encode()
-                if held[0].nodes > NODES:
-                    held[0] = UnigramTrie(held[0].scores)
-                count = held[0].count
-                each = np.fromiter((count(MARK + w) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                words = coded.dictionary.to_pylist()
+                if len(known) + len(words) > TOKENS:
+                    known.clear()
+                known.update(trie.counts([w for w in words if w not in known]))
+                each = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 totals = np.bincount(owner, each[coded.indices.to_numpy()] if len(each) else None, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(totals)], names=[*kept, out])
 
