@@ -273,7 +273,8 @@ def test_keywords_and_engine(people):
     assert list(asked.hl_keywords) == list(asked.ll_keywords) == ["H"]
     engine = Engine(people, lambda t: [[1.0, 0.0]] * len(t), lambda q, s="", h=(): "answer", reranker=lambda q, c: [(i, 1.0) for i, _ in reversed(c)])
     got = engine.query(QueryRequest("who is alice", "LOCAL", top_k=1, chunk_top_k=2, include_references=True))
-    assert got.answer == "answer" and [c["source_id"] for c in got.contexts] == ["chunk-2", "chunk-1"] and got.references == [{"reference_id": "1", "source": "doc-1"}]
+    assert got.answer == "answer" and [c["source_id"] for c in got.contexts] == ["chunk-3", "chunk-2"]
+    assert got.references == [{"reference_id": "1", "source": "doc-2"}, {"reference_id": "2", "source": "doc-1"}]  # twice as many were reranked
     assert engine.query(QueryRequest("x", "NAIVE", only_context=True)).answer.startswith("Entities:\n(none)")
     assert list(engine.query(QueryRequest("x", "BYPASS", stream=True)).stream) == ["answer"]
     with pytest.raises(ValueError):
@@ -285,3 +286,59 @@ def test_rerank_drops_and_keeps(spark):
     r = spark.createDataFrame([("c", 0, 0.9), ("a", 1, 0.2)], "id string, pos int, score double")
     order = lambda d: [x.id for x in d.orderBy("reranked").collect()]
     assert order(ranking.reranked(c, r, 4)) == ["c", "a", "b", "d"] and order(ranking.reranked(c, r, 4, 0.5)) == ["c"]
+
+
+def test_refinement_fills_a_gap(spark):
+    chunks = spark.createDataFrame([("d:0", "d", "网关通过", 4, 0, {}), ("d:1", "d", "缓存 serves", 4, 1, {}), ("e:0", "e", "done.", 5, 0, {})], CHUNK)
+    ent = lambda *n: [(x, "", "", []) for x in n]
+    found = spark.createDataFrame([("d", "d:0", 0, ent("网关", "缓存"), []), ("d", "d:1", 1, ent("缓存"), []), ("e", "e:0", 0, ent("x", "y"), [])], EXTRACTION)
+    joined = found.join(chunks.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")
+    asked = extraction.refinement_windows(joined).collect()
+    assert [(r.chunk_id, r.chunk_ids) for r in asked] == [("d:0", ["d:0", "d:1"])]
+    items = spark.createDataFrame([("d", ["d:0", "d:1"], [0, 7], "网关", "缓存", "uses", "", 0.4), ("d", ["d:0", "d:1"], [], "缓存", "Serves", "k", "", 1.0)], "document_id string, chunk_ids array<string>, indexes array<int>, source string, target string, keywords string, description string, weight double")
+    given = extraction.attribute(items, chunks)
+    assert sorted((r.chunk_id, r.source) for r in given.collect()) == [("d:0", "网关"), ("d:1", "缓存")]
+    done = {r.chunk_id: r for r in extraction.with_patches(found, given).collect()}
+    assert [r.target for r in done["d:0"].relations] == ["缓存"] and [e.name for e in done["d:1"].entities] == ["缓存", "Serves"] and not done["e:0"].relations
+
+
+def test_own_chunker_and_embedder(spark):
+    from corvane.sources.models import embed_column
+
+    docs = spark.createDataFrame([("d", "t", "a b", {})], "id string, title string, content string, metadata map<string,string>")
+    assert [r.text for r in frames.chunk_with(docs, lambda i, t, c, m: c.split()).orderBy("chunk_order").collect()] == ["a", "b"]
+    with pytest.raises(Exception, match="another number of vectors"):
+        embed_column(docs, "content", lambda t: []).collect()
+
+
+def test_resuming(spark):
+    from corvane.operators.materialization import chunk_status, resume_action
+
+    s = spark.createDataFrame([("a", "PROCESSED", "PARTIAL", 2), ("b", "PROCESSED", "MERGED", 2), ("c", "FAILED", "MISSING", 0)], "document_id string, status string, graph_status string, snapshots int")
+    assert {r.document_id: r.action for r in resume_action(s).collect()} == {"a": "MATERIALIZE", "b": "NONE", "c": "INGEST"}
+    e = spark.createDataFrame([("c1", "SUCCEEDED", ["x", "y"], ["r"], None), ("c2", "SUCCEEDED", ["x"], [], None), ("c3", "FAILED", ["z"], [], None), ("c4", "SUCCEEDED", ["z"], [], None)], "chunk_id string, extract_status string, expected_entities array<string>, expected_relations array<string>, last_status string")
+    nodes = spark.createDataFrame([("x", ["c1", "c2"])], "id string, source_chunk_ids array<string>")
+    got = {r.chunk_id: (r.status, r.action) for r in chunk_status(e, nodes, nodes.limit(0)).collect()}
+    assert got == {"c1": ("PARTIAL", "REPAIR"), "c2": ("MATERIALIZED", "NONE"), "c3": ("FAILED", "RESUME"), "c4": ("MISSING", "RESUME")}
+
+
+def test_multi_hop_answers(people):
+    from corvane.plans.engine import events_of
+
+    vectors = {"what does alice reach through bob": [1.0, 0.0]}
+    engine = Engine(people, lambda t: [vectors.get(x, [1.0, 0.0]) for x in t], lambda q, s="", h=(): "draft" if "steps of reasoning" in s else "final")
+    request = QueryRequest("what does alice reach through bob", ll_keywords=["alice"], hl_keywords=["works"], include_references=True)
+    got = engine.query(request)
+    assert got.answer == "final" and {c["source_id"] for c in got.contexts} >= {"chunk-1", "chunk-3"}
+    text = engine.query(retrieve.replace(request, only_context=True)).answer
+    assert text.startswith("Reasoning Path 1") and "Hop 1: Alice -> Bob | keywords: works_with" in text and "Evidence [chunk-1]" in text
+    assert [e["event"] for e in events_of(got, "q")][0] == "meta" and [e["event"] for e in events_of(got, "q")][-1] == "complete"
+
+
+def test_sparse_search_prefers_rare_words(spark):
+    docs = spark.createDataFrame([(1, "the graph store"), (2, "the the the"), (3, "图数据库 store")], "id int, text string")
+    d, q = search.sparse_vectors(docs, text="text"), search.sparse_vectors(spark.createDataFrame([(9, "graph 数据")], "id int, text string"), text="text")
+    ranked = search.sparse_search(d, q, 5)
+    assert sorted(r.id for r in ranked.collect()) == [1, 3]
+    fused = search.fuse_ranks([ranked.select("key", "id", "rank")] * 2, 1).first()
+    assert abs(fused.score - 2 / 61) < 1e-12
