@@ -41,7 +41,7 @@ def p4_time_comparisons(spark, sf_dir):
     return filter_rows(chunks(spark, sf_dir), build_plan(conditions=[Condition("orderdate", "AFTER", "1996-03-01"), Condition("orderdate", "BEFORE", "1998-06-01T12:00:00Z")])).select("id")
 
 
-@register(QUERIES, SQL, "SELECT event_id, epoch_ms(ts)::BIGINT AS ms FROM events WHERE ts > TIMESTAMP '2024-01-10'")
+@register(QUERIES, SQL, "SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE ts > TIMESTAMP '2024-01-10'")
 def p4_event_times(spark, sf_dir):
     """Times as text of milliseconds, read back."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("m", F.create_map(F.lit("at"), F.unix_millis("ts").cast("string")))
