@@ -58,10 +58,20 @@ def a6_upserted_entities(spark, sf_dir):
 
 @register(QUERIES, SQL, W + "SELECT id, 'located_in' AS keywords, weight + 1 AS weight FROM relations WHERE keywords = 'located_in'")
 def a6_upserted_relations(spark, sf_dir):
+    """Places only, as its SQL asks; a6_all_upserted_relations has all relations."""
     stored = relations(spark, sf_dir).where("keywords = 'located_in'")
     return graph.upsert_relations(stored, stored.withColumn("keywords", F.lit("other")).withColumn("weight", F.col("weight") + 1)).select("id", "keywords", "weight")
 
 
+@register(QUERIES, SQL, W + "SELECT r.id, r.keywords, r.weight + 1 AS weight, count(chunk_id) + 1 AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) GROUP BY ALL")
+def a6_all_upserted_relations(spark, sf_dir):
+    """Stored keywords stay; an update of every relation adds weight and a chunk beside one it has already."""
+    stored = relations(spark, sf_dir)
+    chunk_ids = F.concat(F.slice("source_chunk_ids", 1, 1), F.array(F.lit("new")))
+    new = stored.withColumn("keywords", F.lit("other")).withColumn("weight", F.col("weight") + 1).withColumn("source_chunk_ids", chunk_ids)
+    return graph.upsert_relations(stored, new).select("id", "keywords", "weight", F.size("source_chunk_ids").cast("long").alias("n_chunks"))
+
+
 A13 = W + "SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM relations) AS relations, (SELECT count(*) FROM relations r WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.id = r.src_id)) AS dangling"
 
 
@@ -219,11 +229,19 @@ def g12_attribution(spark, sf_dir):
 
 @register(QUERIES, SQL, W + "SELECT id, src_id || chr(10) || keywords || chr(10) || tgt_id || chr(10) AS text FROM relations WHERE keywords = 'located_in'")
 def g14_embedding_texts(spark, sf_dir):
+    """Places only, as its SQL asks; g14_all_embedding_texts has all relations."""
     from ..operators.search import relation_text
 
     return relations(spark, sf_dir).where("keywords = 'located_in'").select("id", relation_text().alias("text"))
 
 
+@register(QUERIES, SQL, W + "SELECT id, src_id || chr(10) || keywords || chr(10) || tgt_id || chr(10) AS text FROM relations")
+def g14_all_embedding_texts(spark, sf_dir):
+    from ..operators.search import relation_text
+
+    return relations(spark, sf_dir).select("id", relation_text().alias("text"))
+
+
 RENAMED = W + """, r AS (SELECT least(s, t) AS src_id, greatest(s, t) AS tgt_id, weight, id FROM (SELECT CASE WHEN src_id IN ('nation-1', 'nation-2') THEN 'nation-0' ELSE src_id END AS s, CASE WHEN tgt_id IN ('nation-1', 'nation-2') THEN 'nation-0' ELSE tgt_id END AS t, weight, id FROM relations) WHERE s <> t)
 SELECT 'rel-' || md5(r.src_id || r.tgt_id) AS id, r.src_id, r.tgt_id, max(weight) AS weight, count(DISTINCT chunk_id) AS n_chunks FROM r LEFT JOIN relation_chunks c ON c.id = r.id GROUP BY r.src_id, r.tgt_id"""
 

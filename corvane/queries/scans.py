@@ -90,9 +90,19 @@ def p9_reference_source(spark, sf_dir):
 P10 = W + "SELECT r.id, r.src_id, r.tgt_id, r.keywords, r.weight, count(chunk_id) AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) WHERE keywords = 'located_in' GROUP BY ALL"
 
 
+def _structured(rows):
+    return rows.select("id", "src_id", "tgt_id", "keywords", "weight", F.size("source_chunk_ids").cast("long").alias("n_chunks"))
+
+
 @register(QUERIES, SQL, P10)
 def p10_structured_relations(spark, sf_dir):
-    return relations(spark, sf_dir).where("keywords = 'located_in'").select("id", "src_id", "tgt_id", "keywords", "weight", F.size("source_chunk_ids").cast("long").alias("n_chunks"))
+    """Places only, as its SQL asks; p10_all_structured_relations has all relations."""
+    return _structured(relations(spark, sf_dir).where("keywords = 'located_in'"))
+
+
+@register(QUERIES, SQL, W + "SELECT r.id, r.src_id, r.tgt_id, r.keywords, r.weight, count(chunk_id) AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) GROUP BY ALL")
+def p10_all_structured_relations(spark, sf_dir):
+    return _structured(relations(spark, sf_dir))
 
 
 # --- search ------------------------------------------------------------------------------------------
