@@ -408,18 +408,33 @@ W7 = """WITH d AS (SELECT vec_id, 1 - list_dot_product(v, n) / (sqrt(list_dot_pr
 SELECT vec_id, round(distance, 6) AS distance, round((coalesce(lead(distance) OVER w, distance) - coalesce(lag(distance) OVER w, distance)) / CASE WHEN lag(distance) OVER w IS NULL OR lead(distance) OVER w IS NULL THEN 1 ELSE 2 END, 6) AS gradient FROM d WINDOW w AS (ORDER BY vec_id)"""
 
 
-@register(QUERIES, SQL, W7)
-def w7_distances_and_gradient(spark, sf_dir):
-    """Distances between neighbours of one label's vectors, and their slope."""
+def _steps(e):
     from pyspark.sql import Window
 
     w = Window.partitionBy("label").orderBy("vec_id")
-    e = table(spark, sf_dir, "embeddings").where("label = 3").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    e = e.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     d = e.withColumn("n", F.lead("v").over(w)).where("n IS NOT NULL").select("label", "vec_id", (1 - cosine("v", "n")).alias("distance"))
     before, after = F.lag("distance").over(w), F.lead("distance").over(w)
     width = F.when(before.isNull() | after.isNull(), 1).otherwise(2)
     slope = (F.coalesce(after, "distance") - F.coalesce(before, "distance")) / width
-    return d.select("vec_id", F.round("distance", 6).alias("distance"), F.round(slope, 6).alias("gradient"))
+    return d.select("label", "vec_id", F.round("distance", 6).alias("distance"), F.round(slope, 6).alias("gradient"))
+
+
+@register(QUERIES, SQL, W7)
+def w7_distances_and_gradient(spark, sf_dir):
+    """Distances between neighbours of one label's vectors, and their slope; w7_all_distances_and_gradients has all labels."""
+    return _steps(table(spark, sf_dir, "embeddings").where("label = 3")).drop("label")
+
+
+W7_ALL = """WITH d AS (SELECT label, vec_id, 1 - list_dot_product(v, n) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(n, n))) AS distance FROM (
+    SELECT label, vec_id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n IS NOT NULL)
+SELECT label, vec_id, round(distance, 6) AS distance, round((coalesce(lead(distance) OVER w, distance) - coalesce(lag(distance) OVER w, distance)) / CASE WHEN lag(distance) OVER w IS NULL OR lead(distance) OVER w IS NULL THEN 1 ELSE 2 END, 6) AS gradient FROM d WINDOW w AS (PARTITION BY label ORDER BY vec_id)"""
+
+
+@register(QUERIES, SQL, W7_ALL)
+def w7_all_distances_and_gradients(spark, sf_dir):
+    """The same for every label's vectors."""
+    return _steps(table(spark, sf_dir, "embeddings"))
 
 
 W8 = "SELECT label, round(quantile_cont(x, 0.95), 6) AS p95, round(avg(x) + 3 * stddev_pop(x), 6) AS deviation, round(avg(x) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)), 6) AS interquartile FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label"

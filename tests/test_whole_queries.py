@@ -40,3 +40,21 @@ def test_all_relations(spark, star):
     assert sorted((*ends[r.id], r.keywords, r.weight, r.n_chunks) for r in merged) == sorted((*e, k, w + 1, len(o) + 1) for e, (k, w, o) in want.items())
     texts = QUERIES["g14_all_embedding_texts"](spark, star).collect()
     assert sorted((*ends[r.id], r.text) for r in texts) == sorted((a, b, f"{a}\n{k}\n{b}\n") for (a, b), (k, _, _) in want.items())
+
+
+def test_distances_of_all_labels(spark, tmp_path):
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    data = [(i, g.standard_normal(4).tolist(), i % 3) for i in range(14)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {}
+    for label in range(3):
+        own = [(i, np.array(v, np.float32).astype(float)) for i, v, x in data if x == label]
+        far = [1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b) for (_, a), (_, b) in zip(own, own[1:])]
+        for (i, _), d, slope in zip(own, far, np.gradient(far)):
+            want[label, i] = (d, slope)
+    rows = QUERIES["w7_all_distances_and_gradients"](spark, str(tmp_path)).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert np.allclose((r.distance, r.gradient), want[r.label, r.vec_id], atol=2e-6)
