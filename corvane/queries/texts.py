@@ -133,7 +133,8 @@ C19 = "SELECT doc_id, length(regexp_replace(replace(text || ' 5 \\% more', '\\%'
 
 @register(QUERIES, SQL, C19)
 def c19_ocr_repair(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[A-Za-z]{2}-\n[A-Za-z]{2}"))
+    """All documents; the SQL leaves out null texts and those with a word broken at a line's end, for want of look-behind."""
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.char_length(filters.repair_ocr(F.concat("text", F.lit(r" 5 \% more")))).cast("long").alias("n"))
 
 

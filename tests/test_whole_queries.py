@@ -58,3 +58,9 @@ def test_distances_of_all_labels(spark, tmp_path):
     assert len(rows) == len(want)
     for r in rows:
         assert np.allclose((r.distance, r.gradient), want[r.label, r.vec_id], atol=2e-6)
+
+
+def test_ocr_repair_of_all_documents(spark, tmp_path):
+    spark.createDataFrame([(1, "an exam-\nple, 7  %"), (2, None), (3, "plain")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n for r in QUERIES["c19_ocr_repair"](spark, str(tmp_path)).collect()}
+    assert got == {1: len("an example, 7% 5% more"), 2: None, 3: len("plain 5% more")}
