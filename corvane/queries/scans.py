@@ -167,13 +167,31 @@ def v6_sparse_terms(spark, sf_dir):
     return t.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("heaviest"))
 
 
+def _sparse_and_dense(spark, sf_dir):
+    """Benchmark passages as queries over documents: by sparse terms, and by the vectors of the same numbers."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    sparse = search.sparse_search(search.sparse_vectors(d, text="text"), search.sparse_vectors(q, text="text"), search.CANDIDATES)
+    dense = search.dense_search(e.join(d.select("id"), "id", "left_semi"), e.join(q.select("id"), "id", "left_semi"), search.CANDIDATES)
+    return sparse, dense
+
+
+def _fused(rows):
+    return score(rows.select(F.col("key").alias("item_id"), F.col("id").alias("doc_id"), "score"))
+
+
 @register(QUERIES, SQL)
 def v7_sparse_and_dense_fused(spark, sf_dir):
-    """Benchmark passages as queries over documents' sparse terms, fused with the same list by rank."""
-    d = search.sparse_vectors(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), text="text")
-    q = search.sparse_vectors(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), text="text")
-    found = search.sparse_search(d, q, search.CANDIDATES)
-    return score(search.fuse_ranks([found.select("key", "id", "rank"), found.select("key", "id", "rank")], 10).select(F.col("key").alias("item_id"), F.col("id").alias("doc_id"), "score"))
+    """Ten documents for each passage, by reciprocal ranks in both lists."""
+    return _fused(search.fuse_ranks(_sparse_and_dense(spark, sf_dir), 10))
+
+
+@register(QUERIES, SQL)
+def v7_weighted_scores(spark, sf_dir):
+    """Ten documents for each passage, by half of each list's score."""
+    sparse, dense = _sparse_and_dense(spark, sf_dir)
+    return _fused(search.fuse_scores(dense, sparse, 10))
 
 
 V8 = W + """SELECT key, id, round(score, 6) AS score, rank::INT AS rank FROM (

@@ -64,3 +64,46 @@ def test_ocr_repair_of_all_documents(spark, tmp_path):
     spark.createDataFrame([(1, "an exam-\nple, 7  %"), (2, None), (3, "plain")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.n for r in QUERIES["c19_ocr_repair"](spark, str(tmp_path)).collect()}
     assert got == {1: len("an example, 7% 5% more"), 2: None, 3: len("plain 5% more")}
+
+
+PASSAGES = {0: "red fox", 1: "green tea pot", 2: "blue"}
+TEXTS = {0: "red fox runs", 1: "green tea", 2: "red tea pot", 3: "snow", 4: "ice and snow", 5: "fox fox tea"}
+
+
+def test_sparse_and_dense(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    g = np.random.default_rng(9)
+    held = {i: g.standard_normal(4).astype(np.float32) for i in [0, 1, 3, 4, 5, 8]}  # documents 0 to 5 but 2; passages 0 and 1
+    tables = {
+        "benchmark": (list(PASSAGES.items()), "item_id long, text string"), "documents": (list(TEXTS.items()), "doc_id long, text string"),
+        "embeddings": ([(i, v.tolist()) for i, v in held.items()], "vec_id long, embedding array<float>"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    terms = {i: Counter(t.split()) for i, t in TEXTS.items()}
+    df = Counter(w for t in terms.values() for w in t)
+    weight = lambda n: 1 + math.log(n)
+    idf = lambda w: math.log(1 + (len(TEXTS) - df[w] + 0.5) / (df[w] + 0.5))
+    sparse, dense = defaultdict(dict), defaultdict(dict)
+    for q, text in PASSAGES.items():
+        for i, own in terms.items():
+            if hits := [weight(n) * weight(own[w]) * idf(w) for w, n in Counter(text.split()).items() if w in own]:
+                sparse[q][i] = sum(hits)
+            if i in held and q in held:
+                a, b = held[q].astype(float), held[i].astype(float)
+                dense[q][i] = a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    ranks = lambda d: {i: 1 / (60 + n) for n, i in enumerate(sorted(d, key=lambda i: (-d[i], i)), 1)}
+    by_rank, by_score = {}, {}
+    for q in PASSAGES:
+        for i in TEXTS:
+            if i in sparse[q] or i in dense[q]:
+                by_rank[q, i] = ranks(sparse[q]).get(i, 0) + ranks(dense[q]).get(i, 0)
+                by_score[q, i] = (sparse[q].get(i, 0) + dense[q].get(i, 0)) / 2
+    for name, want in (("v7_sparse_and_dense_fused", by_rank), ("v7_weighted_scores", by_score)):
+        got = {(r.item_id, r.doc_id): r.score for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == pytest.approx(want, abs=2e-6)
+    assert any(i not in sparse[q] for q, i in by_rank)  # found by vectors alone
