@@ -487,6 +487,18 @@ def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known:
     return keyed.mapInArrow(joined, "a long, b long").distinct()
 
 
+def _distinct_groups(members: DataFrame) -> DataFrame:
+    """token and size: one shingle for each set of classes that join different components; members are distinct (token, class, root).
+
+    Sets of classes are told apart by their size and two hashes of 64 bits.
+    """
+    mixed = members.groupBy("token").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"),
+        F.bit_xor(F.xxhash64("class")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "class")).alias("h2"),
+    ).where("low < high")
+    return mixed.groupBy("h1", "h2", "size").agg(F.min("token").alias("token")).select("token", "size")
+
+
 def _chunk_pairs(mine, chunks):
     """The pairs of chunks that a member of chunk `mine` belongs to; (0, 0) where there is one chunk."""
     others = F.filter(F.sequence(F.lit(0), chunks - 1), lambda x: (x != mine) | (chunks == 1))
@@ -525,7 +537,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     table = written(rows.mapInArrow(prefixes, "doc_id long, n int, class long, prefix array<bigint>, sketch binary"), "prefixes")
     tokens = table.where("prefix IS NOT NULL").select("class", F.explode("prefix").alias("token")).repartition(n_tasks(spark), "token")
     low = tokens.groupBy("token").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b < top")
-    shared_tokens = written(tokens.join(low, "token").select("token", "class", "b"), "tokens")
+    # a class comes once from each task with a copy; each shingle holds it once, or its copies cancel in a xor
+    shared_tokens = written(tokens.join(low, "token").select("token", "class", "b").distinct(), "tokens")
     known = table.where("prefix IS NOT NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     votes = shared_tokens.where("class <> b").groupBy("class", "b").agg(F.count(F.lit(1)).alias("votes"))
     least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
@@ -533,12 +546,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     first = written(_links(rows, table, components(strong), shared), "links")
     joined = components(first).select(F.col("node").alias("class"), "root")
     members = shared_tokens.join(joined, "class", "left").select("token", "class", F.coalesce("root", "class").alias("root"))
-    mixed = members.groupBy("token").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"),
-        F.bit_xor(F.xxhash64("class")).alias("h1"), F.sum(F.hash("class").cast("long")).alias("h2"),
-    ).where("low < high")
     # shingles held by the same classes ask the same, so one of them is enough
-    asked = mixed.groupBy("h1", "h2", "size").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / MEMBERS).cast("int").alias("chunks"))
+    asked = _distinct_groups(members).select("token", F.ceil(F.col("size") / MEMBERS).cast("int").alias("chunks"))
     mine = F.pmod(F.hash("class"), F.col("chunks"))
     own = members.join(asked, "token").join(known, "class").select("token", "class", "root", "n", "sketch", F.explode(_chunk_pairs(mine, F.col("chunks"))).alias("p"))
     dealt = own.select("token", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "class", "root", "n", "sketch").repartition(n_tasks(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j")
