@@ -25,6 +25,8 @@ alone, never the result).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +309,26 @@ def join_sets(sets: list[np.ndarray], roots: list | None = None, percent: int =
     return links
 
 
+def every_link(sets: list[np.ndarray], roots: list | None = None, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """All links (i, j) of sets that hold distinct shingles: each is searched for in a trie of those that are not larger.
+
+    Roots are ignored, as links within a component count as well.
+    """
+    if len(sets) < 2:
+        return
+    sizes = np.array([len(s) for s in sets])
+    _, code, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(df), np.int64)
+    rank[np.lexsort((np.arange(len(df)), -df))] = np.arange(len(df))
+    bounds, trie = np.concatenate([[0], np.cumsum(sizes)]), Trie()
+    for i in np.argsort(sizes, kind="stable").tolist():
+        own = code[bounds[i] : bounds[i + 1]]
+        items = tuple(np.sort(rank[own[df[own] > 1]]).tolist())
+        for j in trie.search(items, int(sizes[i]), percent):
+            yield j, i
+        trie.insert(items, int(sizes[i]), i)
+
+
 class GlobalOrder:
     """Orders shingles: frequent ones last, by how frequent they are, the rest by hash."""
 
@@ -334,8 +356,9 @@ class GlobalOrder:
         return out
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def frequent_shingles(rows: DataFrame) -> GlobalOrder:
@@ -436,8 +459,11 @@ def may_link(names: list, sizes: np.ndarray, roots: np.ndarray, sketches: list[b
         held.setdefault(width, []).append(k)
 
 
-def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) between classes of one group, enough to join all that are linked; known: (class, part) of those joined already."""
+def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known: DataFrame | None = None, search=join_sets) -> DataFrame:
+    """Links (a, b) between classes of one group, enough to join all that are linked, or what another search yields.
+
+    known: (class, part) of those joined already.
+    """
     spark = rows.sparkSession
     reps = table.where("class <> 0").join(groups, F.col("class") == F.col("node")).groupBy("class", "root").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"))
     reps = written(reps, "candidates")
@@ -464,22 +490,22 @@ def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known:
         key, names, own, parts = None, [], [], []
 
         def links():
-            found = join_sets(own, parts)
-            a, b = (pa.array([names[p[k]] for p in found], pa.int64()) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+            for found in batched(search(own, parts), 1 << 16):
+                a, b = (pa.array([names[p[k]] for p in found], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
         for batch in batches:
             for root, i, j, name, part, held in zip(*(c.to_pylist() for c in batch.columns)):
                 if (root, i, j) != key:
                     if len(own) > 1:
-                        yield links()
+                        yield from links()
                     key, names, own, parts = (root, i, j), [], [], []
                 if not names or names[-1] != name:  # sorted by name: copies stand together
                     names.append(name)
                     parts.append(part)
                     own.append(np.frombuffer(held, np.uint64))
         if len(own) > 1:
-            yield links()
+            yield from links()
 
     pairs = _chunk_pairs(F.pmod(F.hash("class"), F.col("chunks")), F.col("chunks"))
     dealt = fetched.mapInArrow(sets, "class long, root long, chunks int, part long, shingles binary").select("root", "class", "part", "shingles", F.explode(pairs).alias("p"))
@@ -514,7 +540,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     """
     if (words, percent) != (WORDS, PERCENT):
         raise ValueError("shingles of five words and a similarity of 75 percent are what this join is built for")
-    spark, rows = docs.sparkSession, _keyed(docs, id_col, text_col)
+    found = _joined(_keyed(docs, id_col, text_col))
+    return found.table.join(_firsts(found), "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+class Joined(NamedTuple):
+    """Keyed texts, their table of classes, links that join all linked classes, and the broadcast order."""
+
+    rows: DataFrame
+    table: DataFrame
+    links: DataFrame
+    shared: object
+
+
+def _joined(rows: DataFrame) -> Joined:
+    spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(frequent_shingles(rows))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,9 +572,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     sketches.append(sketch(shingles[s : s + size]) if new else None)
                     if len(seen) < 1_000_000:
                         seen.add(c)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, n), "n": pa.array(sizes, pa.int32()), "class": pa.array(classes), "prefix": pa.array(heads, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).slice(a, n), "h": batch.column(2).slice(a, n), "n": pa.array(sizes, pa.int32()), "class": pa.array(classes), "prefix": pa.array(heads, pa.list_(pa.int64())), "sketch": pa.array(sketches, pa.binary())})
 
-    table = written(rows.mapInArrow(prefixes, "doc_id long, n int, class long, prefix array<bigint>, sketch binary"), "prefixes")
+    table = written(rows.mapInArrow(prefixes, "doc_id long, h long, n int, class long, prefix array<bigint>, sketch binary"), "prefixes")
     tokens = table.where("prefix IS NOT NULL").select("class", F.explode("prefix").alias("token")).repartition(n_tasks(spark), "token")
     low = tokens.groupBy("token").agg(F.min("class").alias("b"), F.max("class").alias("top")).where("b < top")
     # a class comes once from each task with a copy; each shingle holds it once, or its copies cancel in a xor
@@ -575,11 +615,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
     more = _links(rows, table, components(dealt.mapInArrow(bounded, "a long, b long")), shared, joined.withColumnRenamed("root", "part"))
-    links = first.unionByName(more)
-    classes = table.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("first"))
-    rooted = classes.join(components(links), F.col("class") == F.col("node"), "left").select("class", "first", F.coalesce("root", "class").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("class", "component_id")
-    return table.join(named, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return Joined(rows, table, first.unionByName(more), shared)
+
+
+def _firsts(found: Joined) -> DataFrame:
+    """class and first: doc_id and hash of the text of the least row of its component."""
+    classes = found.table.where("class <> 0").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    rooted = classes.join(components(found.links), F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("class", "first")
+
+
+def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All links (a, b), a < b or of one repeated doc_id, between the least doc_ids of classes of equal sets.
+
+    A link never leaves its component, so the tries of each component are searched once more, for every link.
+    """
+    found = _joined(_keyed(docs, id_col, text_col))
+    every = _links(found.rows, found.table, components(found.links), found.shared, search=every_link)
+    ids = found.table.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id"))
+    named = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for end in "ab":
+        named = named.join(ids.select(F.col("class").alias(end), F.col("id").alias(f"id_{end}")), end)
+    return named.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

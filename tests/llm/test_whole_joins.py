@@ -1,6 +1,7 @@
 """Near copies: whole groups, all links, repeated ids."""
 
 from corvane.llm import ngram_join
+from tests.llm.test_neighbours import brute_sets, near_copies
 
 
 def test_each_shingle_holds_a_class_once(spark, monkeypatch):
@@ -20,3 +21,20 @@ def test_groups_of_classes_are_told_apart(spark):
     members = [(t, c, c) for t, own in {1: (10, 11), 2: (10, 11), 3: (12, 13), 4: (10, 11, 12), 5: (14,)}.items() for c in own]
     found = ngram_join._distinct_groups(spark.createDataFrame(members, "token long, class long, root long")).collect()
     assert sorted((r.token, r["size"]) for r in found) == [(1, 2), (3, 2), (4, 3)]
+
+
+def test_every_link(spark):
+    docs = near_copies(5, 90)
+    sets = brute_sets(docs)
+    first = {}
+    for i, s in sorted(sets.items()):
+        if s:
+            first.setdefault(frozenset(s), i)
+    want = set()
+    for s, a in first.items():
+        for t, b in first.items():
+            if a < b and 100 * len(s & t) >= 75 * len(s | t):
+                want.add((a, b))
+    assert len(want) > len({x for pair in want for x in pair})  # more than join the components
+    rows = ngram_join.near_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
