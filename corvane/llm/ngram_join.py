@@ -640,10 +640,18 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each component the rows with its least doc_id stay, with all columns.
+    """docs without near copies: of each component one row stays, with all columns: one of its least doc_id.
 
-    Rows without a doc_id, and documents without a word, stay.
+    Rows are known by doc_id and text, so of a repeated doc_id only the texts that are near copies go.  Of
+    several texts of the least doc_id in a component that of the least hash stays, and of rows that repeat
+    both any one.  Rows without a doc_id, and documents without a word, stay.
     """
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti")
+    found = _joined(_keyed(docs))
+    rows = found.table.where("class <> 0").join(_firsts(found), "class").groupBy("doc_id", "h").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    last = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    marks = written(rows.where(~last | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), last.alias("__kept")), "repeats")
+    keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
+    same = (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__h"))
+    single = keyed.join(marks.hint("shuffle_hash"), same, "left_anti")
+    once = keyed.join(marks.where("__kept").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__doc", "__text"])
+    return single.unionByName(once).select(*docs.columns)

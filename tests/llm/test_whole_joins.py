@@ -38,3 +38,13 @@ def test_every_link(spark):
     assert len(want) > len({x for pair in want for x in pair})  # more than join the components
     rows = ngram_join.near_links(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(rows) == len(want) and {(r.a, r.b) for r in rows} == want
+
+
+def test_repeated_ids(spark):
+    """Of a repeated doc_id only near copies go, and one row of each group stays."""
+    base = [f"w{i}" for i in range(40)]
+    near, other = " ".join(base), " ".join(f"v{i}" for i in range(40))
+    docs = [(1, near, "a"), (1, near, "b"), (2, " ".join([*base[:-1], "x"]), "c"), (2, other, "d"), (3, "alone", "e"), (3, "apart", "f"), (4, "", "g"), (4, "", "h"), (None, near, "i")]
+    rows = ngram_join.keep_first(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    kept = sorted(r.source for r in rows)
+    assert kept in (list("adefghi"), list("bdefghi"))
