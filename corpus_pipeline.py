@@ -13,7 +13,11 @@ from corvane.llm.common import table, tokenizer_path, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; texts that are null or hold no letter go."""
+    """Documents with a letter: texts that are null or hold none go.
+
+    The learnt languages, scores and the ambiguous flag are deliberately not asked, so near ties and
+    texts of unknown languages stay; where a language was learnt, a test for letters keeps the same rows.
+    """
     told = language_id.identify(docs, language_id.learn_from(docs))
     return told.where(told["lang_pred"] != language_id.UNDETERMINED).select(*docs.columns)
 
