@@ -75,22 +75,59 @@ def test_no_documents(spark):
     assert packing.pack_documents(none, path, 2).count() == 0 and bpe.encode_documents(none, path).count() == 0
 
 
-def test_best_fit_bins():
+def brute_best_fit(sizes, capacity, most):
+    """(bin, place) of each piece: a list of open bins, the fullest that has room, of equals the last filled so far."""
+    open_bins, made, out, closed = [], 0, [], []
+    for n in sizes:
+        fits = [b for b in open_bins if capacity - b[1] >= n]
+        if fits:
+            best = max(fits, key=lambda b: (b[1], b[2]))
+        else:
+            best = [made, 0, 0]
+            made += 1
+            open_bins.append(best)
+        out.append((best[0], best[1]))
+        best[1], best[2] = best[1] + n, len(out)
+        if best[1] == capacity:
+            gone = best
+        elif len(open_bins) > most:
+            gone = max(open_bins, key=lambda b: (b[1], b[2]))
+        else:
+            gone = None
+        if gone:
+            open_bins.remove(gone)
+        closed.append(gone and gone[0])
+    return out, closed
+
+
+def test_best_fit_against_a_list_of_bins():
     r = random.Random(3)
-    for most in (1, 4, 64):
-        fit, held = packing.BestFit(100, most), {}
-        for _ in range(2000):
-            n = r.randint(1, 100)
-            number, at = fit.put(n)
-            assert held.get(number, 0) == at
-            held[number] = at + n
-            assert held[number] <= 100 and fit.open <= most
-        assert sum(held.values()) <= 100 * len(held)
+    for most in (1, 2, 4, 64):
+        for capacity in (10, 100):
+            sizes = [r.randint(1, capacity) for _ in range(1500)]
+            fit = packing.BestFit(capacity, most)
+            got = [fit.put(n) for n in sizes]
+            want, closed = brute_best_fit(sizes, capacity, most)
+            assert [g[:2] for g in got] == want and [g[2] for g in got] == closed
     fit = packing.BestFit(10, 2)
-    assert [fit.put(n) for n in (7, 5, 4, 3)] == [(0, 0), (1, 0), (1, 5), (0, 7)]
+    assert [fit.put(n) for n in (7, 5, 4, 3)] == [(0, 0, None), (1, 0, None), (1, 5, None), (0, 7, 0)]
+    fit = packing.BestFit(10, 2)  # the fullest of all three closes, the new one
+    assert [fit.put(n)[2] for n in (5, 6, 9)] == [None, None, 2]
     assert packing.cut(2500, 1024) == [452, 1024, 1024] and packing.cut(1024, 1024) == [1024] and packing.cut(1, 1024) == [1]
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_partitions_leave_no_gaps(spark, parts):
+    """However many tasks there are, their last bins are packed together."""
+    r = random.Random(9)
+    texts = ["a " * r.randint(1, 60) for _ in range(800)]
+    docs = spark.createDataFrame([(None if i % 50 == 0 else i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
+    rows = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 2, 128).collect()
+    assert len(rows) == 800 and sum(r.doc_id is None for r in rows) == 16
+    total = sum(r.length for r in rows)
+    assert total / (128 * len({r.sequence_id for r in rows})) > 0.98
+
+
 def test_packing(spark):
     encode = encoder("byte_bpe_50k.json")
     rows = packing.pack_documents(documents(spark), tokenizer_path("byte_bpe_50k.json"), 2, 128, keep_ids=True).collect()
