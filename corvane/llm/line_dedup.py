@@ -1,25 +1,26 @@
 """Line dedup on range-partitioned line hashes; the result is a keep bitmap for each document.
 
 DataFrame and SQL functions only.  A line is known by 128 bits of hash, so text is never shuffled
-but where a caller applies the bitmaps.  Hashes are dealt by ranges of (hash, document), which
-splits even a line that every document holds over many tasks, and sorted by hash, document and
-position; each task streams over its range and keeps a document's first occurrence of a line with
-the positions of all.  Those first occurrences are counted by hash, with partial counts in
-each task, and only lines found too often are joined back, salted by document.
+but where a caller applies the bitmaps.  Documents are split and hashed into ranges of (hash,
+document), sorted by hash, document and position, which splits even a line that every document holds over many
+tasks.  A window streams over each sorted range and marks a document's first occurrence of a
+line; the marked positions are written once to the shared folder.
+
+A line that spans ranges is the first or last of one, so there are at most two such lines for each
+range, whatever the data: they are counted apart and broadcast, and the line's rows stay where
+they are.  The rows of any other line are part of one range; they meet their count by hash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_tasks
+from .common import n_tasks, written
 
 #: Fixed value: the white space [\x20\x09-\x0D] that keys lose at both ends.
 BLANKS = "\x20\t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Shares into which a line that is found too often is split when it is joined back.
-SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -31,8 +32,22 @@ def ascii_lower(s: Column) -> Column:
     return F.when(F.octet_length(s) == F.char_length(s), F.lower(s)).otherwise(F.translate(s, UPPER, LOWER))
 
 
+def _ranged_lines(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+    """h1, h2, doc_id, text_hash, n, pos, range, first: the keyed lines, by ranges of (h1, h2, doc_id), sorted; first marks a document's first of a line."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    split = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
+    lines = split.select("doc_id", "text_hash", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    keys = lines.select("doc_id", "text_hash", "n", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= min_chars)
+    key = ascii_lower(F.col("key"))
+    hashed = keys.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", "text_hash", "n", "pos")
+    ranged = hashed.repartitionByRange(n_tasks(docs.sparkSession), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos", "text_hash")
+    # ranges hold each (h1, h2, doc_id) together and in this order: no exchange, no sort
+    order = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos", "text_hash")
+    return ranged.withColumn("first", F.row_number().over(order) == 1).withColumn("range", F.spark_partition_id())
+
+
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document that loses lines: doc_id, __text_hash, n_dropped, kept.
+    """One row for each document that loses lines: doc_id, __text_hash, n_dropped, kept.  Writes the lines' hashes at once.
 
     kept is the keep bitmap, run-length compressed: an array of (first, length) of the kept lines.
     Keys of at least min_chars code points in at least min_docs documents lose all lines but those
@@ -42,20 +57,18 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col
     Rows without a doc_id are in no document: they lose nothing and count for nothing.  Null and
     empty texts are one empty line.  Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    split = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
-    lines = split.select("doc_id", "text_hash", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    keys = lines.select("doc_id", "text_hash", "n", "pos", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.char_length("key") >= min_chars)
-    key = ascii_lower(F.col("key"))
-    hashed = keys.select(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2"), "doc_id", "text_hash", "n", "pos")
-    ranged = hashed.repartitionByRange(n_tasks(docs.sparkSession), "h1", "h2", F.desc("doc_id")).sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
-    # the ranges hold each (h1, h2, doc_id) together, so this streams without another exchange
-    first = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("text_hash", "n", "pos")).alias("places"))
-    often = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= min_docs)
-    salted = often.select("h1", "h2", "holder", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = first.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS)))
-    lost = own.join(salted, ["h1", "h2", "salt"]).where("doc_id <> holder")
-    flat = lost.select("doc_id", F.inline("places")).groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("pos")).alias("lost"))
+    lines = written(_ranged_lines(docs, min_chars, id_col, text_col), "lines")
+    key = ["h1", "h2"]
+    ends = lines.groupBy("range").agg(F.min(F.struct(*key)).alias("low"), F.max(F.struct(*key)).alias("high"))
+    spanning = ends.select(F.explode(F.array("low", "high")).alias("k")).select("k.*").distinct().withColumn("spans", F.lit(True))
+    split = lines.join(F.broadcast(spanning), key, "left")  # at most two for each range
+    apart, rest = split.where("spans").drop("spans"), split.where("spans IS NULL").drop("spans")
+
+    def often(part: DataFrame) -> DataFrame:
+        return part.where("first").groupBy(*key).agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("holder")).where(F.col("docs") >= min_docs)
+
+    gone = apart.join(F.broadcast(often(apart)), key).unionByName(rest.join(often(rest), key)).where("doc_id <> holder")
+    flat = gone.groupBy("doc_id", "text_hash").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("pos")).alias("lost"))
     starts = F.filter("lost", lambda x, i: (i == 0) | (F.try_element_at("lost", i) != x - 1))
     ends = F.filter("lost", lambda x, i: (i == F.size("lost") - 1) | (F.try_element_at("lost", i + 2) != x + 1))
     runs = flat.select("doc_id", "n", F.col("text_hash").alias("__text_hash"), F.size("lost").alias("n_dropped"), starts.alias("starts"), ends.alias("ends"))

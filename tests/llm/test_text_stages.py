@@ -53,7 +53,12 @@ def test_window_entropy_against_counting():
 # --- line dedup -----------------------------------------------------------------------------------------
 
 
-def brute_lines(docs, min_chars=20, min_docs=3):
+def brute_rows(docs):
+    """The kept text of each row."""
+    return [brute_lines(docs, only=(i, t))[i][2] for i, t in docs]
+
+
+def brute_lines(docs, min_chars=20, min_docs=3, only=None):
     blanks = " \t\n\x0b\x0c\r"
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     held: dict = {}
@@ -63,7 +68,7 @@ def brute_lines(docs, min_chars=20, min_docs=3):
                 held.setdefault(x.strip(blanks).translate(lower), set()).add(i)
     gone = {k: max(v) for k, v in held.items() if len(k) >= min_chars and len(v) >= min_docs}
     out = {}
-    for i, t in docs:
+    for i, t in docs if only is None else [only]:
         kept = [x for x in (t or "").split("\n") if i is None or gone.get(x.strip(blanks).translate(lower), i) == i]
         out[i] = ((t or "").count("\n") + 1, (t or "").count("\n") + 1 - len(kept), "\n".join(kept))
     return out
@@ -88,6 +93,25 @@ def test_line_dedup_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_line_dedup_streams_over_its_ranges(spark):
+    """First occurrences come from the sorted ranges: one exchange, one sort, a window."""
+    docs = spark.createDataFrame([(1, LINE)], "doc_id long, text string")
+    plan = line_dedup._ranged_lines(docs, 20, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("Window [") == 1 and "rangepartitioning" in plan
+
+
+def test_a_line_over_many_ranges(spark):
+    """A line that nearly every document holds is split over ranges; repeated rows count once."""
+    docs = [(i % 300, f"{LINE}\nown line of number {i % 300}, once more\n{LINE}") for i in range(600)] + [(1000, f"own line of number 7, once more\n{LINE}"), (7, "another text of a repeated id\n" + LINE)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {}
+    for (i, t), kept in zip(docs, brute_rows(docs)):
+        want[(i, t)] = kept
+    rows = line_dedup.apply_bitmaps(table, line_dedup.keep_bitmaps(table)).collect()
+    assert len(rows) == len(docs) and {(r.doc_id, r.text): r["__kept_text"] for r in rows} == want
+
+
 def test_bitmaps_are_runs(spark):
     docs = [(i, f"{LINE}\na{i}\nb{i}\n{LINE}\nc{i}") for i in range(3)]
     rows = line_dedup.keep_bitmaps(spark.createDataFrame(docs, "doc_id long, text string")).collect()
