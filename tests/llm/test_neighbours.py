@@ -40,6 +40,42 @@ def test_nearest(spark):
     assert nearest.nearest(table.limit(0), table, 5).count() == 0 and nearest.nearest(table, table.limit(0), 5).count() == 0
 
 
+def recall(spark, rows, shards, exact=False, k=20):
+    """Recall over all queries, against brute force."""
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest.nearest(table, table.where("vec_id % 20 = 0"), k, shards=shards, exact=exact).collect():
+        got[r.query_id].add(r.vec_id)
+    ids, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (m * m[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits.append(len(got[int(ids[q])] & set(ids[np.lexsort((ids, -s))[:k]].tolist())))
+    return sum(hits) / (k * len(hits))
+
+
+def test_recall_of_all_queries(spark):
+    """Random directions, and clusters: sizes at which windows matter, in one shard and in several."""
+    g = np.random.default_rng(5)
+    flat = g.standard_normal((3000, 48))
+    spread = np.repeat(g.standard_normal((60, 48)) * 2, 50, axis=0) + g.standard_normal((3000, 48)) * 0.4
+    for rows in (flat, spread):
+        assert all(recall(spark, list(enumerate(rows)), shards) >= 0.95 for shards in (1, 3))
+    assert recall(spark, list(enumerate(flat[:600])), 2, exact=True) == 1
+
+
+def test_repeated_vectors(spark):
+    """A vec_id takes one rank, whatever its rows; large components do not overflow."""
+    rows = [(i, [float(i), 1.0, 0.0]) for i in range(30)] + [(20, [20.0, 1.0, 0.0]), (29, [29.0, 1.0, 0.0]), (29, [30.0, 5.0, 0.0])] * 2
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.nearest(table, table.where("vec_id % 20 = 0"), 5, shards=2).orderBy("query_id", "rank").collect()]
+    assert [g[2] for g in got if g[0] == 20] == [29, 28, 27, 26, 25] and [g[:2] for g in got if g[0] == 0] == [(0, n) for n in range(1, 6)]
+    assert got[5][3] == 20.0 * 29 + 1  # of two vectors of an id the lesser
+    huge = spark.createDataFrame([(i, [(i + 1) * 1e200, -1e200]) for i in range(25)], "vec_id long, embedding array<double>")
+    assert nearest.nearest(huge, huge.where("vec_id = 20"), 3).count() == 3
+
+
 def test_few_candidates(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     rows = nearest.nearest(v, v.where("vec_id % 20 = 0"), 20).orderBy("query_id", "rank").collect()
