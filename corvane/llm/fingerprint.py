@@ -2,6 +2,7 @@
 
 Every window of WINDOW bytes has an entropy; the rarer its entropy is among windows of prose, the
 better the window's rank.  A window that is the best of many of its neighbourhoods is a feature.
+Texts of fewer than SHORT bytes have too few of these to compare by, so each of their windows of SMALL bytes is one as well.
 Features, hashed, go in order into Bloom filters of fixed size, a new one when one is full;
 the filters are the fingerprint.  Two fingerprints are as alike as their filters' bits
 overlap, beyond what chance would give.
@@ -25,6 +26,10 @@ from .words import slices
 WINDOW = 16
 #: Neighbourhoods whose best a window must be to be a feature.
 POPULAR = 8
+#: Texts of fewer bytes are short: their windows of SMALL bytes are features too.
+SHORT, SMALL = 128, 4
+#: A longer text is taken in pieces of so many windows, to hold few numbers for it at once.
+PIECE = 1 << 20
 #: Bits of a filter, features that it takes, and bits set for each.
 FILTER_BITS, FILTER_FEATURES, FEATURE_BITS = 2048, 160, 5
 #: Entropy of windows of prose, in bits: mean, standard deviation, and the least that counts.
@@ -49,9 +54,72 @@ RANKS = _ranks()
 
 
 def digest(texts: list[bytes]) -> list[bytes]:
-    """The filters of each text, end to end.  Equal texts have equal filters; a text shorter than a window is one feature."""
+    """The filters of each text, end to end.  Equal texts have equal filters; a text shorter than a window is padded to one."""
     if not texts:
         return []
+    found = [f for run in _runs(texts) for f in _features(texts, run)]
+    owner, h = (np.concatenate(x) for x in zip(*found))
+    bare = np.setdiff1d(np.arange(len(texts)), owner)
+    if len(bare):  # no window is popular: the best of the first neighbourhood stands for all
+        at, data = _popular([texts[i][: 2 * WINDOW - 1] for i in bare], True)
+        owner, h = np.append(owner, bare), np.append(h, _hashed(data, at, WINDOW))
+    order = np.argsort(owner, kind="stable")  # the small windows' after the others
+    owner, h = owner[order], h[order]
+    per_text = np.bincount(owner, minlength=len(texts))
+    n_filters = -(-per_text // FILTER_FEATURES)
+    begin = np.cumsum(n_filters) - n_filters
+    ordinal = np.arange(len(h)) - (np.cumsum(per_text) - per_text)[owner]
+    chosen = begin[owner] + ordinal // FILTER_FEATURES
+    bits = np.zeros((int(n_filters.sum()), FILTER_BITS), bool)
+    for k in range(FEATURE_BITS):
+        bits[chosen, ((h >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
+    raw = np.packbits(bits, axis=1).tobytes()
+    size, ends = FILTER_BITS // 8, np.cumsum(n_filters)
+    return [raw[size * int(e - n) : size * int(e)] for e, n in zip(ends, n_filters)]
+
+
+def _runs(texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last text, first window, last window): many whole texts, or a part of a long one."""
+    k, size = 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > PIECE:
+            yield k, i, 0, 0
+            k, size = i, 0
+        size += len(t)
+        if size > PIECE:
+            for a in range(0, len(t) - WINDOW + 1, PIECE):
+                yield i, i + 1, a, min(a + PIECE, len(t) - WINDOW + 1)
+            k, size = i + 1, 0
+    if k < len(texts):
+        yield k, len(texts), 0, 0
+
+
+def _features(texts: list[bytes], run: tuple[int, int, int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, hash) of a run's features, in order of text and place."""
+    k, last, a, b = run
+    if b:  # a part: with the windows that decide on those at its edges
+        low = max(0, a - WINDOW + 1)
+        at, data = _popular([texts[k][low : b + 2 * WINDOW - 2]])
+        at = at[(at >= a - low) & (at < b - low)]
+        yield np.full(len(at), k), _hashed(data, at, WINDOW)
+        return
+    own = texts[k:last]
+    room = np.maximum(np.fromiter(map(len, own), np.int64, len(own)), WINDOW)
+    starts = np.cumsum(room) - room
+    at, data = _popular(own)
+    yield k + np.searchsorted(starts, at, "right") - 1, _hashed(data, at, WINDOW)
+    short = np.array([i for i, t in enumerate(own) if SMALL <= len(t) < SHORT], np.int64)
+    if len(short):
+        n = np.array([len(own[i]) - SMALL + 1 for i in short])
+        at = np.repeat(starts[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield k + np.repeat(short, n), _hashed(data, at, SMALL)
+
+
+def _popular(texts: list[bytes], first_best: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows that are features, and the texts' bytes, each padded to a window, end to end.
+
+    With first_best, the place of the best of each text's first neighbourhood instead.
+    """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     room = np.maximum(lens, WINDOW)
     starts = np.cumsum(room) - room
@@ -70,8 +138,7 @@ def digest(texts: list[bytes]) -> list[bytes]:
     step = np.zeros(total, np.int64)
     step[1 : total - WINDOW + 1] = gain[behind[WINDOW:]] - gain[ahead[: total - WINDOW]]
     heads = data[starts[:, None] + np.arange(WINDOW)]
-    counts = np.concatenate([(h[:, :, None] == h[:, None, :]).sum(axis=2) for h in np.array_split(heads, max(1, len(heads) // 1000))])
-    first = np.rint(_CLOG[counts] / counts).sum(axis=1).astype(np.int64)
+    first = np.concatenate([_first_sums(h) for h in np.array_split(heads, max(1, len(heads) // 1000))])
     summed = np.cumsum(step)
     summed += np.repeat(first - summed[starts], room)
     level = np.clip(np.rint(LEVELS * (1 - summed / (_SCALE * WINDOW * np.log2(WINDOW)))), 0, LEVELS).astype(np.int64)
@@ -82,28 +149,28 @@ def digest(texts: list[bytes]) -> list[bytes]:
     while width < WINDOW:
         best = np.concatenate([np.minimum(best[:-width], best[width:]), best[-width:]])
         width *= 2
-    at = (best & ((1 << 40) - 1))[valid]
-    popular = np.bincount(at, minlength=total) >= POPULAR
+    best &= (1 << 40) - 1
+    if first_best:
+        return best[starts], data
+    popular = np.bincount(best[valid], minlength=total) >= POPULAR
     popular &= RANKS[level] <= LEVELS
-    none = np.add.reduceat(popular, starts) == 0
-    popular[(best & ((1 << 40) - 1))[starts[none]]] = True
-    at = np.flatnonzero(popular)
-    owner = np.searchsorted(starts, at, "right") - 1
-    words = data[at[:, None] + np.arange(WINDOW)].view("<u8")
-    h = np.zeros(len(at), np.uint64)
+    return np.flatnonzero(popular), data
+
+
+def _first_sums(heads: np.ndarray) -> np.ndarray:
+    """The sum of c*log(c) over the distinct bytes of each window."""
+    same = heads[:, :, None] == heads[:, None, :]
+    first = ~np.tril(same, -1).any(axis=2)
+    return (_CLOG[same.sum(axis=2)] * first).sum(axis=1)
+
+
+def _hashed(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the `size` bytes, 4 or a multiple of 8, at each place."""
+    words = data[at[:, None] + np.arange(size)].view("<u8" if size % 8 == 0 else "<u4").astype(np.uint64)
+    h = np.full(len(at), 0 if size == WINDOW else size, np.uint64)
     for k in range(words.shape[1]):
         h = _mix(h ^ (words[:, k] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)))
-    per_text = np.bincount(owner, minlength=len(texts))
-    n_filters = -(-per_text // FILTER_FEATURES)
-    begin = np.cumsum(n_filters) - n_filters
-    ordinal = np.arange(len(at)) - (np.cumsum(per_text) - per_text)[owner]
-    chosen = begin[owner] + ordinal // FILTER_FEATURES
-    bits = np.zeros((int(n_filters.sum()), FILTER_BITS), bool)
-    for k in range(FEATURE_BITS):
-        bits[chosen, ((h >> np.uint64(11 * k)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-    raw = np.packbits(bits, axis=1).tobytes()
-    size, ends = FILTER_BITS // 8, np.cumsum(n_filters)
-    return [raw[size * int(e - n) : size * int(e)] for e, n in zip(ends, n_filters)]
+    return h
 
 
 def _mix(h: np.ndarray) -> np.ndarray:

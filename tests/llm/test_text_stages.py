@@ -1,8 +1,10 @@
 """Fingerprints, line dedup, languages, chats and token counts on small tables."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,12 +44,56 @@ def test_fingerprints_tell_edits_from_others(spark):
     assert fingerprint.compare_with_edits(docs.limit(0)).count() == 0 and fingerprint.compare_with_edits(docs.limit(1)).count() == 1
 
 
-def test_window_entropy_against_counting():
+def brute_digest(text):
+    """Features one window at a time, straight from the definitions."""
+    W, clog = fingerprint.WINDOW, lambda c: round((1 << 16) * c * math.log2(c))
+    data = text.ljust(W, b"\0")
+    keys = []
+    for i in range(len(data) - W + 1):
+        held = Counter(data[i : i + W])
+        entropy = 1 - sum(clog(c) for c in held.values() if c > 1) / ((1 << 16) * W * math.log2(W))
+        keys.append((int(fingerprint.RANKS[min(fingerprint.LEVELS, max(0, int(np.rint(fingerprint.LEVELS * entropy))))]), i))
+    best = [min(keys[i : i + W])[1] for i in range(len(keys))]
+    places = [i for i, n in sorted(Counter(best).items()) if n >= fingerprint.POPULAR and keys[i][0] <= fingerprint.LEVELS]
+    small = fingerprint.SMALL <= len(text) < fingerprint.SHORT
+    if not small:
+        places = places or [best[0]]
+    found = [(data[i : i + W], 0) for i in places]
+    if small:
+        found += [(text[i : i + fingerprint.SMALL], fingerprint.SMALL) for i in range(len(text) - fingerprint.SMALL + 1)]
+    mask, out = (1 << 64) - 1, []
+    for n, (piece, h) in enumerate(found):
+        step = 8 if len(piece) % 8 == 0 else 4
+        for k in range(len(piece) // step):
+            h ^= (int.from_bytes(piece[step * k : step * k + step], "little") * 0x9E3779B97F4A7C15 + k) & mask
+            for by in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ h >> 33) * by & mask
+            h ^= h >> 33
+        if n % fingerprint.FILTER_FEATURES == 0:
+            out.append(bytearray(fingerprint.FILTER_BITS // 8))
+        for k in range(fingerprint.FEATURE_BITS):
+            bit = h >> 11 * k & fingerprint.FILTER_BITS - 1
+            out[-1][bit // 8] |= 128 >> bit % 8
+    return b"".join(map(bytes, out))
+
+
+def test_digests_against_windows_one_by_one(monkeypatch):
     r = random.Random(4)
-    for n in (16, 17, 40, 300):
-        text = bytes(r.choice(b"aab c") for _ in range(n))
-        ahead = fingerprint.digest([b"x" * 50, text, b""])[1]
-        assert ahead == fingerprint.digest([text])[0]
+    texts = [b"", b"a", b"abc", b"abcd", b"x" * 50, b"ab" * 40, prose(1).encode(), prose(2, 900).encode(), "äöü ß €".encode() * 9]
+    texts += [bytes(r.choice(b"aab c") for _ in range(n)) for n in (15, 16, 17, 31, 32, 127, 128, 300)] + [bytes(r.randrange(256) for _ in range(700))]
+    want = [brute_digest(t) for t in texts]
+    assert fingerprint.digest(texts) == want
+    monkeypatch.setattr(fingerprint, "SHORT", 30)
+    want = [brute_digest(t) for t in texts]
+    for piece in (40, 64, 1000):  # long texts in pieces are the same
+        monkeypatch.setattr(fingerprint, "PIECE", piece)
+        assert fingerprint.digest(texts) == want
+
+
+def test_short_texts_are_compared():
+    a, b = fingerprint.digest([b"Tion was thanonon.", b"Tion was Raas con,"])
+    c, d = fingerprint.digest([b"Licensed under it", prose(3, 500).encode()])
+    assert fingerprint.likeness(a, b) > 0.3 > max(fingerprint.likeness(a, c), fingerprint.likeness(a, d))
 
 
 # --- line dedup -----------------------------------------------------------------------------------------
