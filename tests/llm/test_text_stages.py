@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import chat_format, fingerprint, language_id, line_dedup, token_counts
@@ -187,6 +188,67 @@ def test_languages_held_out(spark):
     assert language_id.identify(mixed, language_id.learn_from(table)).first().score < 1
 
 
+def brute_language(learnt, text):
+    """Language, score and ambiguity by dictionaries of n-grams, a naive Bayes for each bit, and logistic losses."""
+    fold = bytes(32 if 33 <= b < 127 and not chr(b).isalpha() else b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+    def grams(t, n):
+        t = t.encode().translate(fold)
+        for i in range(len(t) - n + 1):
+            code = int.from_bytes(t[i : i + n], "little") * 2654435761 % 2**32
+            yield (code ^ code >> 15) * 2246822519 % 2**32 >> 17
+
+    langs = sorted({x for _, x in learnt})
+    share = {}
+    for n in language_id.ORDERS:
+        for lang in langs:
+            c = Counter(g for t, x in learnt if x == lang for g in grams(t, n))
+            total = sum(c.values()) + 0.5 * language_id.BUCKETS
+            share[n, lang] = lambda g, c=c, total=total: (c[g] + 0.5) / total
+    codes = language_id.codewords(len(langs))
+    margins = []
+    for j in range(codes.shape[1]):
+        sides = [[x for k, x in enumerate(langs) if codes[k, j] == side] for side in (1, -1)]
+        seen = sum(math.log(np.mean([share[n, x](g) for x in sides[0]]) / np.mean([share[n, x](g) for x in sides[1]])) for n in language_id.ORDERS for g in grams(text, n)) if all(sides) else 0
+        margins.append(seen / len(language_id.ORDERS) / math.sqrt(max(1, len(text.encode()))))
+    losses = [sum(math.log1p(math.exp(-m * c)) for m, c in zip(margins, row)) for row in codes]
+    near = [math.exp(min(losses) - x) for x in losses]
+    score = max(near) / sum(near)
+    return langs[losses.index(min(losses))], score, score < language_id.AMBIGUOUS
+
+
+def test_languages_against_dictionaries(spark, monkeypatch):
+    learnt = [(said(x, i, 12), x) for x in SYLLABLES for i in range(6)]
+    model = language_id.learn(spark.createDataFrame(learnt, "text string, lang string"))
+    texts = [said("en", 77, 9), said("de", 78, 9), said("fr", 79, 2), "zz", "q", "é", said("en", 5, 3) + " " + said("fr", 6, 3)]
+    want = [brute_language(learnt, t) for t in texts]
+    assert any(w[2] for w in want) and not all(w[2] for w in want)
+    for size in (1 << 20, 16):  # long texts in pieces are the same
+        monkeypatch.setattr(language_id, "SLICE_BYTES", size)
+        langs, score, unsure = model.predict(pa.array(texts))
+        assert langs == [w[0] for w in want] and np.allclose(score, [w[1] for w in want], atol=1e-4) and unsure.tolist() == [w[2] for w in want]
+
+
+def test_rejected_languages(spark):
+    """The prediction decides, and columns of clashing names stay as they are."""
+    docs = [(i, said(x, i), x, f"own {i}") for i in range(60) for x in (list(SYLLABLES)[i % 3],)] + [(100, "q", None, "a"), (101, None, None, "b"), (102, "12 34", None, "c"), (None, said("en", 3), None, "d")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, score string")
+    model = language_id.learn_from(table)
+    kept = language_id.keep_told(table, model)
+    assert kept.columns == table.columns and {r.score for r in kept.collect()} == {f"own {i}" for i in range(60)} | {"d"}
+    assert {r.score for r in language_id.keep_told(table, model, ["de"]).collect()} == {f"own {i}" for i in range(1, 60, 3)}
+    assert language_id.keep_told(table.limit(0), model).count() == 0
+
+
+def test_repeated_and_many_languages(spark, monkeypatch):
+    rows = [(1, said("en", 1), "en")] * 3 + [(2, said("de", 1), "de")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id.identify(table, language_id.learn(table)).collect()] == ["en"] * 3 + ["de"]
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.learn(table)
+
+
 def test_unlabelled_documents(spark):
     docs = spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")
     assert language_id.identify(docs, language_id.learn_from(docs)).first().lang_pred == "und"
