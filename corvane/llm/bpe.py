@@ -1,7 +1,8 @@
 """BPE encoding and decoding by a table of distinct words.
 
 Documents are handled in blocks of bounded size.  Every block's distinct words go, dealt by the
-word's hash, to tasks that encode each distinct word of the corpus once; the ids come back to the
+word's hash, to the task that has all of that word's share, which encodes it once while its table of TABLE_WORDS has
+room (a full table starts anew, so memory is bounded, and more shuffle partitions hold more words); the ids come back to the
 block, where each position looks up its word's ids.  Words are cut where byte-level pre-tokenizers
 always cut (see words.py), so joined ids are those of the whole text.  Only distinct words and packed
 blocks are shuffled, never a row for each position.
@@ -54,6 +55,13 @@ def distinct_words(texts: pa.Array) -> pa.Array:
     return pc.unique(pa.concat_arrays(found)) if found else pa.array([], pa.large_string())
 
 
+def words_crc(words: pa.Array) -> int:
+    """A checksum of words in their order."""
+    words = pa.concat_arrays([words.cast(pa.large_binary())])
+    sizes, text = words.buffers()[1:]
+    return zlib.crc32(text.to_pybytes() if text else b"") << 31 ^ zlib.crc32(sizes.to_pybytes()[: 8 * (len(words) + 1)] if sizes else b"")
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
     """(id, document ids, texts) of each block; the id comes from what the block holds."""
     for batch in batches:
@@ -73,7 +81,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     With `decoded`, also the text that decode_documents makes of the ids, by the same join, in the same task.
 
     docs is read twice and must give the same rows in the same order both times, as tables do;
-    a block that differs is an error, never a wrong result.  Null and empty texts have no ids; null ids
+    a block is known by checksums of what it holds, and its distinct words are compared by theirs, so rows that differ are
+    an error.  A text is a block at least and is encoded in one piece: a worker needs a few times its size.  Null and empty texts have no ids; null ids
     and repeated rows are rows like any others; other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -84,6 +93,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, texts in blocks(batches):
             found = distinct_words(texts)
+            whole = pa.array([words_crc(found)], pa.int64())
             to = np.fromiter((zlib.crc32(w) for w in found.cast(pa.large_binary()).to_pylist()), np.uint32, len(found)) % tasks
             order = np.argsort(to, kind="stable")
             bounds = np.searchsorted(to[order], np.arange(tasks + 1))
@@ -92,14 +102,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                     own = found.take(pa.array(order[a:b]))
                     sizes = pc.binary_length(own).cast(pa.uint32())
                     text = pa.array(np.frombuffer(own.buffers()[2] or b"", np.uint8))
-                    blob = to_blob(step=narrow(np.diff(order[a:b], prepend=0)), size=narrow(sizes.to_numpy()), text=text)
+                    blob = to_blob(step=narrow(np.diff(order[a:b], prepend=0)), size=narrow(sizes.to_numpy()), text=text, whole=whole)
                     yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "block": pa.array([block], pa.int64()), "words": pa.array([blob], pa.binary())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, table = coder(tokenizer, ByteCoder), {}
         for batch in batches:
             for block, blob in zip(batch.column(1).to_pylist(), batch.column(2)):
-                step, size, text = from_blob(blob.as_py())
+                step, size, text, whole = from_blob(blob.as_py())
                 raw, ends = text.to_numpy().tobytes(), np.cumsum(size.to_numpy(), dtype=np.int64).tolist()
                 ids = []
                 for a, b in zip([0, *ends], ends):
@@ -111,7 +121,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                         known = table[word] = code.one(word.decode())
                     ids.append(known)
                 lens = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-                done = to_blob(step=step, n=narrow(lens), ids=narrow(np.frombuffer(b"".join(ids), "<u4")))
+                done = to_blob(step=step, n=narrow(lens), ids=narrow(np.frombuffer(b"".join(ids), "<u4")), whole=whole)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "ids": pa.array([done], pa.binary())})
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,6 +133,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
         at = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[0].to_numpy(), dtype=np.int64) for p in parts)])
         lens = np.concatenate([np.zeros(0, np.int64), *(p[1].to_numpy() for p in parts)]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint8), *(p[2].to_numpy() for p in parts)])
+        sent = {p[3][0].as_py() for p in parts}
         del parts
         at, first = np.unique(at, return_index=True)
         begin, lens = (np.cumsum(lens) - lens)[first], lens[first]
@@ -134,7 +145,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 if a == 0:
                     # the same distinct words in the same order as those that were sent
                     known = distinct_words(docs.column(1))
-                    if len(known) != len(at):
+                    if len(known) != len(at) or sent - {words_crc(known)}:
                         raise RuntimeError("the documents differ between two reads; write them to a table first")
                 where = pc.index_in(words, known).to_numpy()
                 ids, counts = gather_flat(flat, begin, lens, where, n_words)
@@ -146,7 +157,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
                 out.append(pa.RecordBatch.from_arrays(columns, names=names))
         return pa.Table.from_batches(out, OUT.append(pa.field("decoded", pa.string())) if decoded else OUT)
 
-    encoded = rows.mapInArrow(words, "part int, block long, words binary").repartition(tasks, "part").mapInArrow(encode, "block long, ids binary")
+    encoded = rows.mapInArrow(words, "part int, block long, words binary").repartitionById(tasks, F.col("part")).mapInArrow(encode, "block long, ids binary")
     whole = rows.mapInArrow(packed, "block long, docs binary")
     return whole.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(join, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,18 +79,21 @@ def _filesystem(uri: str):
 
 
 class TokenFileWriter:
-    """Writes documents' ids to one file; close() adds index and trailer."""
+    """Writes documents' ids to one file; close() adds index and trailer.
+
+    Ids go out block by block; what stays until the end is the index, 17 bytes for each document.
+    """
 
     def __init__(self, sink, width: int):
         self.sink, self.width = sink, width
-        self.offsets, self.doc_ids, self.nulls, self.ends = [0], [], [], []
+        self.offsets, self.doc_ids, self.nulls, self.ends = array("Q", [0]), array("q"), array("B"), array("Q")
         self.rest, self.n_ids = np.zeros(0, np.uint32), 0
 
     def add(self, doc_ids: list, ids: np.ndarray, lens: np.ndarray) -> None:
         """Documents' ids, end to end, and how many each has."""
-        self.doc_ids += [x or 0 for x in doc_ids]
-        self.nulls += [x is None for x in doc_ids]
-        self.ends.append(self.n_ids + np.cumsum(lens))
+        self.doc_ids.extend(x or 0 for x in doc_ids)
+        self.nulls.extend(x is None for x in doc_ids)
+        self.ends.frombytes((self.n_ids + np.cumsum(lens)).astype(np.uint64).tobytes())
         self.n_ids += len(ids)
         ids = np.concatenate([self.rest, ids])
         full = len(ids) // BLOCK * BLOCK
@@ -100,14 +104,14 @@ class TokenFileWriter:
     def _write(self, data: bytes, blocks: int) -> None:
         self.sink.write(data)
         step = len(data) // blocks
-        self.offsets += [self.offsets[-1] + step * (i + 1) for i in range(blocks)]
+        at = self.offsets[-1]
+        self.offsets.extend(range(at + step, at + len(data) + 1, step))
 
     def close(self) -> None:
         if len(self.rest):
             self._write(pack(self.rest, self.width), 1)
         at = self.offsets[-1]
-        ends = np.concatenate(self.ends) if self.ends else np.zeros(0)
-        for x, kind in ((self.offsets, "<u8"), (self.doc_ids, "<i8"), (self.nulls, "u1"), (ends, "<u8")):
+        for x, kind in ((self.offsets, "<u8"), (self.doc_ids, "<i8"), (self.nulls, "u1"), (self.ends, "<u8")):
             self.sink.write(np.asarray(x, kind).tobytes())
         self.sink.write(TRAILER.pack(MAGIC, self.width, len(self.offsets) - 1, len(self.doc_ids), self.n_ids, at))
         self.sink.close()
@@ -154,7 +158,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     """Encodes whole texts and writes their ids, each document closed by end_id, in ascending doc_id order.
 
     Documents are range-partitioned by id, sorted in each partition, and every partition streams
-    into a file of its own, so no task holds more than an Arrow batch.  A task's file has a name of
+    into a file of its own: a task holds an Arrow batch, a text's ids, and the file's index, 17 bytes for each document.  A task's file has a name of
     its own for each attempt, and only files of tasks that succeeded are listed, so a lost executor
     leaves nothing but an unlisted file.  The list (one row for each file) is all the driver gets.
 
@@ -203,12 +207,12 @@ def read_token_files(files: TokenFiles) -> DataFrame:
     """
     at, rows = 0, []
     for f in files.files:
-        rows.append((f.path, at))
+        rows.append((len(rows), f.path, at))
         at += f.n_tokens
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, base in zip(*(c.to_pylist() for c in batch.columns)):
+            for _, path, base in zip(*(c.to_pylist() for c in batch.columns)):
                 system, name = _filesystem(path)
                 with system.open_input_file(name) as source:
                     file, k = TokenFileReader(source), 0
@@ -222,5 +226,6 @@ def read_token_files(files: TokenFiles) -> DataFrame:
                         k = last
 
     spark = files.spark
-    listed = spark.createDataFrame(rows, "path string, base long")
-    return listed.repartition(max(1, len(rows)), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    listed = spark.createDataFrame(rows, "file int, path string, base long")
+    # a file a task
+    return listed.repartitionById(max(1, len(rows)), F.col("file")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

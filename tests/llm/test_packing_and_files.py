@@ -156,6 +156,31 @@ def test_encode_and_decode(spark):
     assert {r.doc_id: r.s for r in both} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(HARD)}
 
 
+def test_null_and_repeated_ids(spark):
+    """Every row is a document of its own, whatever its id."""
+    texts = ["one two", "three", None, "", "one two", "one two", "four"]
+    ids = [None, None, 5, 5, 7, 7, 7]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    for name, end in (("byte_bpe_50k.json", []), ("word_bpe_49k.json", [1])):
+        encode, path = encoder(name), tokenizer_path(name)
+        want = sorted((-1 if i is None else i, len([*encode(t), *end])) for i, t in zip(ids, texts))
+        if end:
+            rows = token_files.read_token_files(token_files.write_token_files(docs, path, 1)).collect()
+            assert sum(r.n_tokens for r in rows if r.start == 0) and max(r.start + r.n_tokens for r in rows) == sum(n for _, n in want)
+        else:
+            rows = bpe.encode_documents(docs, path).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in rows) == want
+
+
+def test_equal_blocks(spark, monkeypatch):
+    """Blocks of the same rows, and full tables, change nothing."""
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 3)
+    docs = spark.createDataFrame([(1, "the same five words again")] * 4 + [(2, "b " * 50)], "doc_id long, text string").repartition(4)
+    path, encode = tokenizer_path("byte_bpe_50k.json"), encoder("byte_bpe_50k.json")
+    rows = bpe.encode_documents(docs, path).collect()
+    assert len(rows) == 5 and all(np.frombuffer(r.ids, "<u4").tolist() == encode("the same five words again" if r.doc_id == 1 else "b " * 50) for r in rows)
+
+
 def test_decoding_of_broken_bytes(spark):
     from tokenizers import Tokenizer
 
