@@ -13,13 +13,12 @@ from corvane.llm.common import table, tokenizer_path, written
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter: texts that are null or hold none go.
+    """Documents in a language that the classifier learnt from those not held out.
 
-    The learnt languages, scores and the ambiguous flag are deliberately not asked, so near ties and
-    texts of unknown languages stay; where a language was learnt, a test for letters keeps the same rows.
+    Texts that are null or hold no letter go, and those that it flags as ambiguous: two codewords are about
+    as near, as for a text of one or two letters or of two languages at once.
     """
-    told = language_id.identify(docs, language_id.learn_from(docs))
-    return told.where(told["lang_pred"] != language_id.UNDETERMINED).select(*docs.columns)
+    return language_id.keep_told(docs, language_id.learn_from(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
