@@ -1,8 +1,8 @@
 """Token counts by a unigram model, with dynamic programming shared over a trie of pre-tokens.
 
-Each distinct pre-token of a batch is put into a trie.  A node's forward score, the best log
-probability of any segmentation of the path to it, depends on the path alone, so it is computed
-once for all pre-tokens that share it; a node where pre-tokens end stores their count of tokens.
+Each distinct pre-token is put into a worker's trie, which stays from batch to batch.  A node's forward
+score, the best log probability of any segmentation of the path to it, depends on the path alone, so it is computed
+when the node is made, once for all pre-tokens that share it; a node where pre-tokens end stores their count of tokens.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from .words import slices
 MARK = "▁"
 #: How much less likely than the least likely piece a byte of an unknown character is.
 UNKNOWN = 10.0
-#: Counts that a worker remembers; it forgets all of them when there are more.
-TOKENS = 500_000
+#: Nodes of a worker's trie; it grows a new one when that is full, so memory is bounded.
+NODES = 1_500_000
+#: Nodes are named by their parent and a character.
+_SHIFT = 21
 
 
 def zipf_scores(pieces: list[str]) -> dict[str, float]:
@@ -52,8 +54,8 @@ class UnigramTrie:
     less likely by UNKNOWN than the least likely piece.
     """
 
-    def __init__(self, scores: dict[str, float]):
-        self.scores = scores
+    def __init__(self, scores: dict[str, float], mark: str = MARK, most: int = NODES):
+        self.scores, self.mark, self.most = scores, mark, most
         self.least = min(scores.values(), default=0.0) - UNKNOWN
         # pieces from their last character to their first; "" holds a piece's score
         self.back: dict = {}
@@ -62,66 +64,89 @@ class UnigramTrie:
             for c in reversed(piece):
                 at = at.setdefault(c, {})
             at[""] = score
-
-    def counts(self, tokens: list[str], mark: str = MARK) -> dict[str, int]:
-        """The count of each pre-token, led by the mark.
-
-        Sorted pre-tokens are their trie in depth-first order: `score[d]` and `used[d]` belong to the
-        node at depth d of the present path, and stay while the next pre-token shares it, so each
-        node of the trie is computed once and only a path of them is held.
-        """
-        score, used, out, before = [0.0], [0], {}, ""
-        back, scores = self.back, self.scores
-        for own in sorted(set(tokens)):
-            token, d = mark + own, 0
-            for x, y in zip(token, before):
-                if x != y:
-                    break
-                d += 1
-            del score[d + 1 :], used[d + 1 :]
-            for d in range(d, len(token)):  # the node after character d
-                best, fewest, at = -math.inf, 0, d
-                pieces = back.get(token[d])
-                while pieces is not None:
-                    s = pieces.get("")
-                    if s is not None:
-                        s += score[at]
-                        if s > best or (s == best and used[at] + 1 < fewest):
-                            best, fewest = s, used[at] + 1
-                    if not at:
+        self._plant()
+
+    def _plant(self) -> None:
+        """An empty trie: node 0 is the root, then the mark's nodes."""
+        self.child: dict[int, int] = {}
+        self.parent, self.letter = [0], [""]
+        self.score, self.used = [0.0], [0]
+        #: Pre-tokens that ended in the trie, with the counts at their last nodes.
+        self.known: dict[str, int] = {}
+        self.start = 0
+        for c in self.mark:
+            self.start = self._grow(self.start, c)
+
+    def _grow(self, node: int, c: str) -> int:
+        """The child of a node, scored from its ancestors when it is new."""
+        name = node << _SHIFT | ord(c)
+        found = self.child.get(name)
+        if found is not None:
+            return found
+        best, fewest, at = -math.inf, 0, node
+        score, used, parent, letter = self.score, self.used, self.parent, self.letter
+        pieces = self.back.get(c)
+        while pieces is not None:
+            s = pieces.get("")
+            if s is not None:
+                s += score[at]
+                if s > best or (s == best and used[at] + 1 < fewest):
+                    best, fewest = s, used[at] + 1
+            if not at:
+                break
+            pieces, at = pieces.get(letter[at]), parent[at]
+        if c not in self.scores:
+            size = len(c.encode("utf-8", "surrogatepass"))
+            s = score[node] + size * self.least
+            if s > best or (s == best and used[node] + size < fewest):
+                best, fewest = s, used[node] + size
+        self.child[name] = new = len(score)
+        parent.append(node)
+        letter.append(c)
+        score.append(best)
+        used.append(fewest)
+        return new
+
+    def counts(self, tokens: list[str]) -> list[int]:
+        """The count of each pre-token, led by the mark: what its last node stores."""
+        known, child, out = self.known, self.child, []
+        for token in tokens:
+            n = known.get(token)
+            if n is None:
+                if len(self.score) + len(token) > self.most:
+                    self._plant()
+                    known, child = self.known, self.child
+                node = self.start
+                for i, c in enumerate(token):
+                    below = child.get(node << _SHIFT | ord(c))
+                    if below is None:
+                        for c in token[i:]:
+                            node = self._grow(node, c)
                         break
-                    at -= 1
-                    pieces = pieces.get(token[at])
-                if token[d] not in scores:
-                    size = len(token[d].encode("utf-8", "surrogatepass"))
-                    s = score[d] + size * self.least
-                    if s > best or (s == best and used[d] + size < fewest):
-                        best, fewest = s, used[d] + size
-                score.append(best)
-                used.append(fewest)
-            out[own] = used[-1]
-            before = token
+                    node = below
+                n = known[token] = self.used[node]
+            out.append(n)
         return out
 
 
 @lru_cache(maxsize=2)
-def _trie(path: str) -> tuple[UnigramTrie, dict[str, int]]:
-    """A worker's model, and the counts that it remembers."""
-    return UnigramTrie(piece_model_scores(path)), {}
+def _trie(path: str) -> UnigramTrie:
+    """A worker's trie, for as long as the worker lives."""
+    return UnigramTrie(piece_model_scores(path))
 
 
 def count_tokens(docs: DataFrame, model: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:
     """docs with a last column of token counts: each text is cut at white space, each pre-token begins with MARK.
 
-    Null and empty texts and texts of white space count 0; all rows stay; a column of that name is
-    replaced.  Tasks see a batch's distinct pre-tokens only, and remember at most TOKENS counts between
-    batches, so memory is bounded.
+    Null and empty texts and texts of white space count 0; all rows stay, repeated ones as well; a column of that name is
+    replaced.  A slice's distinct pre-tokens go to the worker's trie, of at most NODES nodes but for a pre-token that is
+    longer; its path is made and given up.  No shuffle: workers share no trie.
     """
     kept = [c for c in docs.columns if c != out]
     at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known = _trie(model)
+        trie = _trie(model)
         for batch in batches:
             for a, n in slices(batch.column(at)):
                 part = batch.slice(a, n)
@@ -131,11 +156,7 @@ def count_tokens(docs: DataFrame, model: str, text_col: str = "text", out: str =
                 full = pc.not_equal(flat, pa.scalar("", pa.large_string()))
                 owner = lists.value_parent_indices().to_numpy()[full.to_numpy(zero_copy_only=False)]
                 coded = flat.filter(full).dictionary_encode()
-                words = coded.dictionary.to_pylist()
-                if len(known) + len(words) > TOKENS:
-                    known.clear()
-                known.update(trie.counts([w for w in words if w not in known]))
-                each = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                each = np.array(trie.counts(coded.dictionary.to_pylist()), np.int64)
                 totals = np.bincount(owner, each[coded.indices.to_numpy()] if len(each) else None, minlength=n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(totals)], names=[*kept, out])
 

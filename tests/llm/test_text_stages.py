@@ -308,7 +308,16 @@ def test_counts_against_all_segmentations():
         scores = {p: -float(r.randint(1, 6)) for p in pieces}  # many ties
         trie = token_counts.UnigramTrie(scores)
         words = ["".join(r.choice("abcé日") for _ in range(r.randint(1, 9))) for _ in range(60)]
-        assert trie.counts(words) == {w: brute_count("▁" + w, scores, trie.least) for w in words}
+        want = [brute_count("▁" + w, scores, trie.least) for w in words]
+        assert trie.counts(words) == want and trie.counts(words[::-1]) == want[::-1]
+        small = token_counts.UnigramTrie(scores, most=30)  # full again and again
+        assert small.counts(words) == want and small.counts(["a" * 40 + w for w in words]) == [brute_count("▁" + "a" * 40 + w, scores, trie.least) for w in words]
+
+
+def test_shared_prefixes_are_scored_once():
+    trie = token_counts.UnigramTrie({p: -1.0 for p in "▁abc"})
+    assert trie.counts(["abc", "ab", "abcc", "ac", "abc"]) == [4, 3, 5, 3, 4]
+    assert len(trie.score) == 2 + len({"a", "ab", "abc", "abcc", "ac"})  # the root and the mark, then a node for each prefix
 
 
 def test_counts_against_the_library(spark):
@@ -317,7 +326,7 @@ def test_counts_against_the_library(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     scores = token_counts.piece_model_scores(path)
     whole = Tokenizer(models.Unigram(list(scores.items()), None, False))
-    texts = [prose(i, 30) for i in range(20)] + [None, "", " \n\t", "one  two\nthree"]
+    texts = [prose(i, 30) for i in range(20)] + [None, "", " \n\t", "one  two\nthree", "x" * 3000, "one  two\nthree"]
     docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, path).collect()}
     assert got == {i: sum(len(whole.encode("▁" + w).ids) for w in (t or "").split()) for i, t in enumerate(texts)}
