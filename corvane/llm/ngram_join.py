@@ -25,6 +25,7 @@ alone, never the result).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import batched
 from typing import NamedTuple
 
@@ -47,6 +48,10 @@ CHUNK = 4 << 20
 FEW_EDGES = 1 << 20
 #: Members of a prefix shingle's group whose sketches are compared in a task.
 MEMBERS = 2000
+#: Bytes of texts whose words are hashed at a time.
+PIECE = 1 << 20
+#: A class is heavy if it holds at least one in so many of all rows, so at most so many are; these are broadcast.
+HEAVY = 1000
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -63,7 +68,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, A-Z lower-cased, and the number of words of each text."""
+    """A 64-bit hash of each word, A-Z lower-cased, and the number of words of each text.
+
+    Bytes are taken in pieces, which may cut a word: a polynomial of a word's bytes, by their places in
+    it, is the sum of its parts' polynomials, each moved by the bytes before it.
+    """
     texts = pc.fill_null(texts.cast(pa.large_binary()), pa.scalar(b"", pa.large_binary()))
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -71,35 +80,51 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
     data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]]
     bounds = bounds - bounds[0]
+    sums, sizes, begins = [], [], []
+    for a in range(0, len(data), PIECE):
+        part = data[a : a + PIECE]
+        cuts = bounds[np.searchsorted(bounds, a + 1) : np.searchsorted(bounds, a + len(part))] - a
+        total, size, begin = _fragments(part, cuts)
+        if len(begin) and begin[0] == 0 and a and not _SPACE[data[a - 1]] and bounds[np.searchsorted(bounds, a)] != a:
+            k = next(k for k in range(len(sizes) - 1, -1, -1) if len(sizes[k]))
+            moved = pow(int(_BASE), int(sizes[k][-1]), 1 << 64)
+            sums[k][-1] = np.uint64(int(sums[k][-1]) + int(total[0]) * moved & (1 << 64) - 1)
+            sizes[k][-1] += size[0]
+            total, size, begin = total[1:], size[1:], begin[1:]
+        sums.append(total)
+        sizes.append(size)
+        begins.append(begin + a)
+    begins = np.concatenate(begins)
+    hashes = _mix(np.concatenate(sums) + np.concatenate(sizes).astype(np.uint64) * _SALT[40])
+    return hashes, np.searchsorted(begins, bounds[1:]) - np.searchsorted(begins, bounds[:-1])
+
+
+def _fragments(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Polynomial, size and first byte of each run of word bytes; runs end at the cuts."""
     word = ~_SPACE[data]
     begins, ends = word.copy(), word.copy()
     begins[1:] &= ~word[:-1]
     ends[:-1] &= ~word[1:]
-    inner = bounds[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    begins[inner] |= word[inner]
-    ends[inner - 1] |= word[inner - 1]
+    begins[cuts] |= word[cuts]
+    ends[cuts - 1] |= word[cuts - 1]
     begins, ends = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    # a polynomial of each word's bytes, by its place in the word: no dependence on the text around
-    power = _powers(int((ends - begins).max()) if len(ends) else 1)
-    place = np.arange(len(data)) - np.repeat(begins, np.diff(np.append(begins, len(data)))) if len(begins) and begins[0] == 0 else None
-    if place is None:
-        place = np.arange(len(data)) - (np.repeat(np.append(0, begins), np.diff(np.concatenate([[0], begins, [len(data)]]))))
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), begins
+    power = _powers(int((ends - begins).max()))
+    place = np.arange(len(data)) - np.repeat(np.append(0, begins), np.diff(np.concatenate([[0], begins, [len(data)]])))
     terms = _LUT[_FOLD[data]]
     terms[~word] = 0
     terms[word] *= power[place[word]]
-    hashes = _mix(np.add.reduceat(terms, begins) + (ends - begins).astype(np.uint64) * _SALT[40]) if len(begins) else np.zeros(0, np.uint64)
-    return hashes, np.searchsorted(begins, bounds[1:]) - np.searchsorted(begins, bounds[:-1])
+    return np.add.reduceat(terms, begins), ends - begins, begins
 
 
-_POWERS = np.ones(1, np.uint64)
+@lru_cache(maxsize=1)
+def _all_powers() -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, _BASE, np.uint64))])
 
 
 def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) <= n:
-        _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(2 * n, _BASE, np.uint64))])
-    return _POWERS
+    return _all_powers()[: n + 1]
 
 
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +252,9 @@ def join_sets(sets: list[np.ndarray], roots: list | None = None, percent: int =
     """Links (i, j) that join all sets that are linked, directly or by way of others.
 
     Sets hold distinct shingles in the order of all documents; sets of one root are joined
-    already.  They come in by size; each meets those that hold a shingle of its prefix.  One member of
-    every component met is tried first; only if it fails, and a bound leaves room for a link, are the
-    component's tries searched, which finds every link.  No link between components is missed; links within one are not needed.
+    already.  They come in by size; each meets the components that hold a shingle of its prefix, and a
+    component's tries are searched for a link unless bounds leave no room for one with any of its sets: first the
+    components whose first member may link, then the others.  No link between components is missed; links within one are not needed.
     """
     sizes = np.array([len(s) for s in sets])
     if len(sets) < 2:
@@ -287,16 +312,22 @@ def join_sets(sets: list[np.ndarray], roots: list | None = None, percent: int =
         met.discard(find(i))
         items = tuple(shared[i].tolist())
         if met:
+            searched: set[int] = set()
+
+            def meet(r: int, i=i, items=items, size=size, searched=searched) -> None:
+                if r != find(i) and r not in searched:
+                    searched.add(r)
+                    j = next((j for t in tries.get(r, ()) for j in t.search(items, size, percent)), None)
+                    if j is not None:
+                        link(i, j)
+
             for j in may(i, np.array([hub[r] for r in met])).tolist():
-                if find(j) != find(i) and len(np.intersect1d(shared[i], shared[j], assume_unique=True)) >= least_common(size, int(sizes[j]), percent):
-                    link(i, j)
+                meet(find(j))
             asked = np.zeros(len(sets) + 1, bool)
-            asked[[r for r in {find(r) for r in met} if r != find(i)]] = True
+            asked[[r for r in {find(r) for r in met} if r != find(i) and r not in searched]] = True
             if asked.any():
                 for r in np.unique(label[may(i, np.flatnonzero(asked[label]))]).tolist():
-                    if find(r) != find(i):
-                        for j in next((found for t in tries.get(find(r), ()) if (found := list(t.search(items, size, percent)))), ()):
-                            link(i, j)
+                    meet(find(r))
         own = find(i)
         label[i] = own
         hub.setdefault(own, i)
@@ -356,17 +387,24 @@ class GlobalOrder:
         return out
 
 
+class Alike(NamedTuple):
+    """Words of a shingle, and the least similarity in percent."""
+
+    words: int = WORDS
+    percent: int = PERCENT
+
+
 def _keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
-def frequent_shingles(rows: DataFrame) -> GlobalOrder:
+def frequent_shingles(rows: DataFrame, words: int = WORDS) -> GlobalOrder:
     """The order of all documents' shingles; the driver gets FREQUENT pairs of numbers at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shingle_sets(batch.column(1).slice(a, n))[0] for a, n in slices(batch.column(1))]
+            found = [shingle_sets(batch.column(1).slice(a, n), words)[0] for a, n in slices(batch.column(1))]
             if found:
                 h, c = np.unique(np.concatenate(found), return_counts=True)
                 often = c >= LOCAL
@@ -459,7 +497,7 @@ def may_link(names: list, sizes: np.ndarray, roots: np.ndarray, sketches: list[b
         held.setdefault(width, []).append(k)
 
 
-def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known: DataFrame | None = None, search=join_sets) -> DataFrame:
+def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, alike: Alike, known: DataFrame | None = None, search=join_sets) -> DataFrame:
     """Links (a, b) between classes of one group, enough to join all that are linked, or what another search yields.
 
     known: (class, part) of those joined already.
@@ -478,7 +516,7 @@ def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known:
         for batch in batches:
             for a, n in slices(batch.column(3)):
                 part = batch.slice(a, n)
-                shingles, sizes = shingle_sets(part.column(3))
+                shingles, sizes = shingle_sets(part.column(3), alike.words)
                 # a doc_id may have other rows, of another class
                 same = signatures(shingles, sizes) == part.column(0).to_numpy()
                 raw, ends = order.arrange(shingles, sizes).tobytes(), np.cumsum(sizes) * 8
@@ -490,7 +528,7 @@ def _links(rows: DataFrame, table: DataFrame, groups: DataFrame, shared, known:
         key, names, own, parts = None, [], [], []
 
         def links():
-            for found in batched(search(own, parts), 1 << 16):
+            for found in batched(search(own, parts, alike.percent), 1 << 16):
                 a, b = (pa.array([names[p[k]] for p in found], pa.int64()) for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
@@ -536,12 +574,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     Texts null or without a word have an empty set, link with nothing and are their own component; so
     are rows without a doc_id, whose component_id is null.  Repeated rows are in one class; an empty table
-    gives no rows.  Classes are told apart by 64 bits of hash.  Other columns are not read.
+    gives no rows.  Classes are told apart by 64 bits of hash.  Other columns are not read.  A worker needs
+    about ten times the size of its longest text.
     """
-    if (words, percent) != (WORDS, PERCENT):
-        raise ValueError("shingles of five words and a similarity of 75 percent are what this join is built for")
-    found = _joined(_keyed(docs, id_col, text_col))
-    return found.table.join(_firsts(found), "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+    if words < 1 or not 0 < percent <= 100:
+        raise ValueError("shingles of a word at least, and a similarity of 1 to 100 percent")
+    found = _joined(_keyed(docs, id_col, text_col), Alike(words, percent))
+    return _with_firsts(found).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
 
 
 class Joined(NamedTuple):
@@ -551,24 +590,25 @@ class Joined(NamedTuple):
     table: DataFrame
     links: DataFrame
     shared: object
+    alike: Alike
 
 
-def _joined(rows: DataFrame) -> Joined:
+def _joined(rows: DataFrame, alike: Alike = Alike()) -> Joined:
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_shingles(rows))
+    shared = spark.sparkContext.broadcast(frequent_shingles(rows, alike.words))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = shared.value, set()
         for batch in batches:
             for a, n in slices(batch.column(1)):
-                shingles, sizes = shingle_sets(batch.column(1).slice(a, n))
+                shingles, sizes = shingle_sets(batch.column(1).slice(a, n), alike.words)
                 classes, arranged = signatures(shingles, sizes), order.arrange(shingles, sizes)
                 classes[batch.column(0).slice(a, n).is_null().to_numpy(zero_copy_only=False)] = 0
                 starts, heads, sketches = np.cumsum(sizes) - sizes, [], []
                 for s, size, c in zip(starts.tolist(), sizes.tolist(), classes.tolist()):
                     # copies in one task need no prefix of their own
                     new = c and c not in seen
-                    heads.append(arranged[s : s + prefix_length(size)].view(np.int64) if new else None)
+                    heads.append(arranged[s : s + prefix_length(size, alike.percent)].view(np.int64) if new else None)
                     sketches.append(sketch(shingles[s : s + size]) if new else None)
                     if len(seen) < 1_000_000:
                         seen.add(c)
@@ -581,9 +621,9 @@ def _joined(rows: DataFrame) -> Joined:
     shared_tokens = written(tokens.join(low, "token").select("token", "class", "b").distinct(), "tokens")
     known = table.where("prefix IS NOT NULL").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     votes = shared_tokens.where("class <> b").groupBy("class", "b").agg(F.count(F.lit(1)).alias("votes"))
-    least = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    least = F.col("n") - F.ceil(F.col("n") * alike.percent / 100) + 1
     strong = votes.join(known.select("class", "n"), "class").where(2 * F.col("votes") >= least).select(F.col("class").alias("a"), "b")
-    first = written(_links(rows, table, components(strong), shared), "links")
+    first = written(_links(rows, table, components(strong), shared, alike), "links")
     joined = components(first).select(F.col("node").alias("class"), "root")
     members = shared_tokens.join(joined, "class", "left").select("token", "class", F.coalesce("root", "class").alias("root"))
     # shingles held by the same classes ask the same, so one of them is enough
@@ -597,7 +637,7 @@ def _joined(rows: DataFrame) -> Joined:
 
         def flush() -> None:
             names, roots, sizes, sketches = zip(*held)
-            out.update((min(a, b), max(a, b)) for a, b in may_link(names, np.array(sizes), np.array(roots), sketches))
+            out.update((min(a, b), max(a, b)) for a, b in may_link(names, np.array(sizes), np.array(roots), sketches, alike.percent))
 
         for batch in batches:
             for token, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -614,15 +654,26 @@ def _joined(rows: DataFrame) -> Joined:
             a, b = (pa.array([p[k] for p in out], pa.int64()) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
 
-    more = _links(rows, table, components(dealt.mapInArrow(bounded, "a long, b long")), shared, joined.withColumnRenamed("root", "part"))
-    return Joined(rows, table, first.unionByName(more), shared)
+    more = _links(rows, table, components(dealt.mapInArrow(bounded, "a long, b long")), shared, alike, joined.withColumnRenamed("root", "part"))
+    return Joined(rows, table, first.unionByName(more), shared, alike)
 
 
 def _firsts(found: Joined) -> DataFrame:
-    """class and first: doc_id and hash of the text of the least row of its component."""
-    classes = found.table.where("class <> 0").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("least"))
-    rooted = classes.join(components(found.links), F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
-    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("class", "first")
+    """class, copies and first: doc_id and hash of the text of the least row of its component."""
+    classes = found.table.where("class <> 0").groupBy("class").agg(F.min(F.struct("doc_id", "h")).alias("least"), F.count(F.lit(1)).alias("copies"))
+    rooted = classes.join(components(found.links), F.col("class") == F.col("node"), "left").select("class", "copies", "least", F.coalesce("root", "class").alias("root"))
+    return rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("class", "copies", "first")
+
+
+def _with_firsts(found: Joined) -> DataFrame:
+    """The table with `first` (null for empty sets), without sending a class that holds many rows to one task."""
+    firsts = written(_firsts(found), "firsts")
+    few = found.table.count() / HEAVY
+    heavy = firsts.where(F.col("copies") >= few).select("class", "first", F.lit(True).alias("heavy"))
+    marked = found.table.join(F.broadcast(heavy), "class", "left")  # at most HEAVY rows
+    done = marked.where("heavy OR class = 0").drop("heavy")
+    rest = marked.where("heavy IS NULL AND class <> 0").drop("heavy", "first").join(firsts.where(F.col("copies") < few).select("class", "first"), "class")
+    return done.unionByName(rest)
 
 
 def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -631,7 +682,7 @@ def near_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A link never leaves its component, so the tries of each component are searched once more, for every link.
     """
     found = _joined(_keyed(docs, id_col, text_col))
-    every = _links(found.rows, found.table, components(found.links), found.shared, search=every_link)
+    every = _links(found.rows, found.table, components(found.links), found.shared, found.alike, search=every_link)
     ids = found.table.where("class <> 0").groupBy("class").agg(F.min("doc_id").alias("id"))
     named = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for end in "ab":
@@ -647,7 +698,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     both any one.  Rows without a doc_id, and documents without a word, stay.
     """
     found = _joined(_keyed(docs))
-    rows = found.table.where("class <> 0").join(_firsts(found), "class").groupBy("doc_id", "h").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    rows = _with_firsts(found).where("class <> 0").groupBy("doc_id", "h").agg(F.first("first").alias("first"), F.count(F.lit(1)).alias("n"))
     last = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
     marks = written(rows.where(~last | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), last.alias("__kept")), "repeats")
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})

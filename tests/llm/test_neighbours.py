@@ -90,7 +90,7 @@ def brute_sets(docs):
     return out
 
 
-def brute_components(sets):
+def brute_components(sets, percent=75):
     parent = {i: i for i in sets}
 
     def find(x):
@@ -102,7 +102,7 @@ def brute_components(sets):
     for n, a in enumerate(names):
         for b in names[:n]:
             common = len(sets[a] & sets[b])
-            if common and 100 * common >= 75 * (len(sets[a]) + len(sets[b]) - common):
+            if common and 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
@@ -126,6 +126,7 @@ def near_copies(seed, n=220):
 @pytest.mark.parametrize("chunk", [1 << 22, 900])
 def test_near_duplicates(spark, monkeypatch, chunk):
     monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_join, "HEAVY", 1000 if chunk > 1000 else 20)
     monkeypatch.setattr(ngram_join, "MEMBERS", 2000 if chunk > 1000 else 15)
     monkeypatch.setattr(ngram_join, "FEW_EDGES", 1 << 20 if chunk > 1000 else 3)
     docs = near_copies(chunk)
@@ -186,16 +187,41 @@ def test_word_hashes_ignore_the_text_around():
     assert n.tolist() == [3, 0, 1, 0, 3] and a[1] == a[3] == a[5] and a[2] == a[4] and len(set(a.tolist())) == 4
 
 
+@pytest.mark.parametrize("piece", [1, 3, 7, 64])
+def test_words_cut_by_pieces(monkeypatch, piece):
+    """Long texts and words in pieces give the same hashes."""
+    r = random.Random(piece)
+    texts = [None, "", " ", "a", "word " * 9, "x" * 100, " lead", "é" * 20 + "\tß"] + ["".join(r.choice("ab \n") for _ in range(r.randint(0, 90))) for _ in range(60)]
+    want = ngram_join.word_hashes(pa.array(texts))
+    ngram_join._all_powers.cache_clear()
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    got = ngram_join.word_hashes(pa.array(texts))
+    ngram_join._all_powers.cache_clear()
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_other_words_and_similarities(spark):
+    docs = near_copies(7, 80)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {}
+    for i, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = set() if not w else {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))}
+    want = brute_components(sets, 50)
+    rows = ngram_join.near_duplicates(table, 3, 50).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(sets[i]), want[i]) for i, _ in docs}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from corvane.llm import language_id
     from corvane.llm.common import tokenizer_path
     from tests.llm.test_text_stages import LINE, brute_lines, said
 
-    texts = [said("en", i % 25) + f"\n{LINE}\n" + said("en", 100 + i % 25, 8) for i in range(60)] + ["123 456", None, ""]
-    docs = [(i, t, "en" if i % 2 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    texts = [said("en", i % 25) + f"\n{LINE}\n" + said("en", 100 + i % 25, 8) for i in range(60)] + [said("de", i % 9) + f"\n{LINE}" for i in range(20)] + ["123 456", None, "", "q"]
+    docs = [(i, t, "en" if i < 60 else "de", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    told = [(i, t) for i, t, *_ in docs if t and re.search("[a-z]", t)]
+    told = [(i, t) for i, t, *_ in docs if i < 80]  # the rest has no letter, or one that both languages share
     lines = {i: x[2] for i, x in brute_lines(told).items()}
     first = brute_components(brute_sets(list(lines.items())))
     kept = {i: t for i, t in lines.items() if first[i] == i}
