@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ...schemas import CHUNK
+from ...schemas import CHUNK, LEVEL, PARENT, SEARCHABLE, SUMMARY
 from . import texts, windows
 from .texts import Block, Draft, Sizing
 
@@ -20,7 +20,6 @@ ALIASES = {
 }
 #: Metadata keys of chunks.
 SECTION, KIND, BLOCKS, PREVIOUS, NEXT, IMAGE = (f"smart_chunker.{k}" for k in ("section_path", "content_type", "source_block_ids", "prev_chunk_id", "next_chunk_id", "primary_image_path"))
-LEVEL, PARENT, SUMMARY, SEARCHABLE = (f"lightrag.{k}" for k in ("chunkLevel", "parentChunkId", "parentSummary", "searchable"))
 
 
 def strategy_of(name: str | None) -> str:
@@ -30,6 +29,12 @@ def strategy_of(name: str | None) -> str:
         raise ValueError(f"unsupported chunking strategy: {name}") from None
 
 
+def strategy_column(name: Column) -> Column:
+    """strategy_of of rows; null for names that are none."""
+    known = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
+    return F.try_element_at(known, F.upper(F.trim(F.coalesce(name, F.lit("")))))
+
+
 @dataclass(frozen=True)
 class ProcessOptions:
     """Flags of a document's processing: i, t, e for images, tables and equations, ! for no graph, and one chunker's letter."""
@@ -103,8 +108,8 @@ def chunk_text(doc_id: str, title: str, content: str, metadata: dict, options: C
     elif o.strategy == "SEMANTIC_VECTOR":
         parts = texts.semantic(content, o.size, o.embed, o.threshold, o.amount)
     else:
-        parts, fallback = texts.by_rules(content, o.rules, o.size, o.overlap)
-        extra |= {"chunking.downgraded": str(fallback).lower()} | ({"chunking.reason": "too few boundaries"} if fallback else {})
+        parts, reason = texts.by_rules(content, o.rules, o.size, o.overlap)
+        extra |= {"chunking.downgraded": "true", "chunking.mode": "FIXED", "chunking.reason": reason} if reason else {"chunking.downgraded": "false"}
     return [(f"{doc_id}:{i}", doc_id, p, len(p), i, metadata | extra) for i, p in enumerate(parts)]
 
 

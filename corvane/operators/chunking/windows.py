@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...functions.text import strip
+from ...schemas import LEVEL, SEARCHABLE
 
 #: Sizes and overlaps by granularity: smart (target, most, overlap), and fixed or recursive (size, overlap).
 GRANULARITY = {"FINE": ((300, 500, 60), (500, 60)), "MEDIUM": ((800, 1200, 100), (1000, 100)), "COARSE": ((1200, 1800, 160), (1600, 160))}
@@ -62,7 +63,7 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 def searchable(chunks: DataFrame) -> DataFrame:
     """Of each document the chunks marked searchable if any chunk is marked, else its children, else its parents."""
-    flag, level = F.try_element_at("metadata", F.lit("lightrag.searchable")), F.try_element_at("metadata", F.lit("lightrag.chunkLevel"))
+    flag, level = F.try_element_at("metadata", F.lit(SEARCHABLE)), F.try_element_at("metadata", F.lit(LEVEL))
     w = Window.partitionBy("document_id")
     marked = chunks.withColumn("__any", F.max(flag.isNotNull().cast("int")).over(w)).withColumn("__kids", F.max((level == "child").cast("int")).over(w))
     child = F.coalesce(level == "child", F.lit(False))

@@ -134,11 +134,31 @@ def compare(value: Column, op: str, literal: object) -> Column:
     return F.coalesce(held, F.lit(False))
 
 
-def to_column(plan: FilterPlan, metadata: Column | str = "metadata", columns: Mapping[str, Column] | None = None) -> Column:
-    """The whole plan as a condition; fields that are columns of their own reach the scan."""
+def native_compare(value: Column, op: str, literal: object) -> Column:
+    """One condition on a column of a fitting type, as it is, so that scans can take it; null where the column is."""
+    if op in LIST:
+        return value.isin(*(literal if isinstance(literal, tuple) else (literal,)))
+    if isinstance(literal, Decimal):
+        literal = int(literal) if literal == literal.to_integral_value() else float(literal)
+    than = F.lit(literal)
+    return {"GT": value > than, "GTE": value >= than, "LT": value < than, "LTE": value <= than, "BEFORE": value < than, "AFTER": value > than}[op]
+
+
+def to_column(plan: FilterPlan, metadata: Column | str = "metadata", columns: Mapping[str, Column] | None = None, native: bool = False) -> Column:
+    """The whole plan as a condition.
+
+    Fields in `columns` are columns of their own: with native, ones of fitting types whose texts need no stripping,
+    and their conditions reach the scan.
+    """
     m = F.col(metadata) if isinstance(metadata, str) else metadata
-    value = lambda f: (columns or {}).get(f) if columns and f in columns else F.try_element_at(m, F.lit(f))
-    parts = [compare(value(f), "IN", v) for f, v in plan.equals.items()] + [compare(value(f), op, x) for f, op, x in plan.compares]
+    columns = columns or {}
+
+    def part(field: str, op: str, literal: object) -> Column:
+        if field in columns:
+            return (native_compare if native else compare)(columns[field], op, literal)
+        return compare(F.try_element_at(m, F.lit(field)), op, literal)
+
+    parts = [part(f, "IN", v) for f, v in plan.equals.items()] + [part(f, op, x) for f, op, x in plan.compares]
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 

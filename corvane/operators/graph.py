@@ -6,13 +6,14 @@ directions, so every step is an equi-join.
 
 from __future__ import annotations
 
+import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_keywords, keyword_parts, merged_csv, merged_lists, normal_key, relation_id, split_values
-from ..schemas import ENTITY
 
 MAX_ENDPOINT = 256
 
@@ -116,21 +117,18 @@ def drop_conflicting_aliases(entities: DataFrame, relations: DataFrame) -> DataF
 # --- assembling a document's graph, in order ---------------------------------------------------------
 
 
-class _Entity:
-    def __init__(self, name: str, kind: str, description: str):
-        self.id, self.name, self.kind, self.description = _key(name), name, kind, description
-        self.aliases: dict[str, str] = {}
-        self.chunks: dict[str, None] = {}
-        self.keys: dict[str, None] = {}
+class Mention(NamedTuple):
+    """What one chunk says of an entity."""
 
-    def alias(self, names) -> None:
-        for x in names:
-            k = _key(x)
-            if k and k != _key(self.name):
-                self.aliases.setdefault(k, x.strip())
+    chunk: str
+    name: str
+    kind: str
+    description: str
+    aliases: tuple[str, ...]
 
-    def take(self, kind: str, description: str) -> None:
-        self.kind, self.description = self.kind or kind, self.description or description
+    @property
+    def keys(self) -> list[str]:
+        return list(dict.fromkeys(map(_key, (self.name, *self.aliases))))
 
 
 def _key(name: str | None) -> str:
@@ -138,11 +136,73 @@ def _key(name: str | None) -> str:
 
 
 def _parts(text: str) -> list[str]:
-    import re
-
     return [p for p in (re.sub(r"[\s_-]+", "_", x.strip()) for x in text.split(",")) if p]
 
 
+class KeyTable:
+    """Which group of mentions holds a key; a guard keeps keys apart that a relation names as its two ends.
+
+    A group is known by its first name's key.  If the guard keeps a mention of that very name out, a new group takes the old one's place.
+    """
+
+    def __init__(self, apart: set[frozenset[str]]):
+        self.apart = apart
+        self.holder: dict[str, str] = {}
+        self.keys: dict[str, list[str]] = {}
+        #: The groups' mentions in the order in which they joined, each with the names it adds.
+        self.said: dict[str, list[tuple[Mention, list[str]]]] = {}
+
+    def joins(self, keys: list[str], group: str) -> bool:
+        return not any(frozenset((a, b)) in self.apart for a in keys for b in self.keys[group] if a != b)
+
+    def _found(self, own: str, keys: list[str]) -> str:
+        self.said[own], self.keys[own] = [], keys
+        return own
+
+    def add(self, m: Mention) -> None:
+        """Unite the mention with all groups that hold one of its keys, unless the guard objects."""
+        keys = m.keys
+        met = [g for g in dict.fromkeys(self.holder[k] for k in keys if k in self.holder) if self.joins(keys, g)]
+        home = met[0] if met else self._found(_key(m.name), [])
+        for g in met[1:]:
+            self.said[home] += self.said.pop(g)
+            self.keys[home] += self.keys.pop(g)
+        self.said[home].append((m, [x for x in ([m.name] * bool(met) + [*m.aliases]) if _key(x) != home]))
+        self.keys[home] = list(dict.fromkeys([*self.keys[home], *keys]))
+        self.holder.update(dict.fromkeys(self.keys[home], home))
+
+    def see(self, chunk: str, name: str) -> str:
+        """The group of a relation's end, which the chunk mentions by this; a new one if none holds the name."""
+        k = _key(name)
+        group = self.holder.setdefault(k, k)
+        if group not in self.said:
+            self._found(group, [k])
+        self.said[group].append((Mention(chunk, name, "", "", ()), []))
+        return group
+
+    def fold(self, group: str) -> dict:
+        """One entity of a group: the first name, type and description, each alias once, all chunks."""
+        said = self.said[group]
+        aliases: dict[str, str] = {}
+        for x in (x for _, names in said for x in names if _key(x) not in ("", group)):
+            aliases.setdefault(_key(x), x.strip())
+        first = lambda values: next(filter(None, values), "")
+        return {
+            "id": group, "name": said[0][0].name, "type": first(m.kind for m, _ in said), "description": first(m.description for m, _ in said),
+            "aliases": list(aliases.values()), "source_chunk_ids": list(dict.fromkeys(m.chunk for m, _ in said)),
+        }
+
+
+def _edge(pair: tuple[str, str], said: list[tuple[str, dict]]) -> dict:
+    """One relation of all that chunks say of a pair: the first description, the largest weight, each keyword once."""
+    words = [r["keywords"] or "" for _, r in said]
+    keywords = dict.fromkeys([*sorted(set(_parts(_key(words[0])))), *(p for w in words for p in _parts(w))])
+    return {
+        "src_id": pair[0], "tgt_id": pair[1], "keywords": ", ".join(keywords), "description": next(filter(None, (r["description"] for _, r in said)), ""),
+        "weight": max(1.0 if r["weight"] is None else r["weight"] for _, r in said), "source_chunk_ids": list(dict.fromkeys(c for c, _ in said)),
+    }
+
+
 def assemble(extractions: pd.DataFrame) -> tuple[list[dict], list[dict]]:
     """One document's graph from its chunks' extractions, in order.
 
@@ -150,101 +210,57 @@ def assemble(extractions: pd.DataFrame) -> tuple[list[dict], list[dict]]:
     ends.  The first spelling, type and description win; ends that no entity has are added.
     """
     rows = extractions.sort_values(["chunk_order", "chunk_id"])
-    related = set()
-    for relations in rows["relations"]:
-        for r in relations:
-            a, b = _key(r["source"]), _key(r["target"])
-            if a and b and a != b:
-                related.add((min(a, b), max(a, b)))
-    apart = lambda a, b: (min(a, b), max(a, b)) in related
-    entities: dict[str, _Entity] = {}
-    owner: dict[str, str] = {}
-    for chunk, found in zip(rows["chunk_id"], rows["entities"]):
-        for x in found:
-            name = x["name"]
-            aliases = [a for a in (x["aliases"] if x["aliases"] is not None else []) if _key(a) and not apart(_key(name), _key(a))]
-            keys = dict.fromkeys([_key(name), *map(_key, aliases)])
-            same: dict[str, None] = {}
-            for k in keys:
-                held = owner.get(k)
-                if held is not None and not (held in entities and any(k1 != k2 and apart(k1, k2) for k1 in keys for k2 in entities[held].keys)):
-                    same[held] = None
-            if not same:
-                e = _Entity(name, x["type"] or "", x["description"] or "")
-                entities[e.id] = e
-            else:
-                e, *others = same
-                e = entities[e]
-                for o in (entities.pop(o, None) for o in others):
-                    if o is not None:
-                        e.take(o.kind, o.description)
-                        e.alias(o.aliases.values())
-                        e.chunks.update(o.chunks)
-                        e.keys.update(o.keys)
-                if _key(name) != _key(e.name):
-                    e.alias([name])
-                e.take(x["type"] or "", x["description"] or "")
-            e.alias(aliases)
-            e.keys.update(keys)
-            e.chunks[chunk] = None
-            for k in e.keys:
-                owner[k] = e.id
-    edges: dict[tuple[str, str], dict] = {}
-
-    def end(chunk: str, name: str) -> _Entity:
-        k = _key(name)
-        if k not in owner:
-            e = _Entity(name, "", "")
-            e.keys[k] = None
-            entities[e.id] = e
-            owner[k] = e.id
-        e = entities[owner[k]]
-        e.chunks[chunk] = None
-        return e
-
-    for chunk, found in zip(rows["chunk_id"], rows["relations"]):
-        for r in found:
-            a, b = end(chunk, r["source"]), end(chunk, r["target"])
-            if a.id == b.id:
-                continue
-            pair = (min(a.id, b.id), max(a.id, b.id))
-            words, weight = r["keywords"] or "", 1.0 if r["weight"] is None else r["weight"]
-            if pair not in edges:
-                edges[pair] = {"keywords": dict.fromkeys(sorted(set(_parts(_key(words))))), "description": "", "weight": weight, "chunks": {}}
-            e = edges[pair]
-            e["keywords"].update(dict.fromkeys(_parts(words)))
-            e["description"] = e["description"] or r["description"] or ""
-            e["weight"] = max(e["weight"], weight)
-            e["chunks"][chunk] = None
-    nodes = [{"id": e.id, "name": e.name, "type": e.kind, "description": e.description, "aliases": list(e.aliases.values()), "source_chunk_ids": list(e.chunks)} for e in entities.values()]
-    return nodes, [{"src_id": a, "tgt_id": b, "keywords": ", ".join(e["keywords"]), "description": e["description"], "weight": e["weight"], "source_chunk_ids": list(e["chunks"])} for (a, b), e in edges.items()]
+    relations = [(chunk, r) for chunk, own in zip(rows["chunk_id"], rows["relations"]) for r in own]
+    ends = [(_key(r["source"]), _key(r["target"])) for _, r in relations]
+    table = KeyTable({frozenset(e) for e in ends if all(e) and e[0] != e[1]})
+    for chunk, own in zip(rows["chunk_id"], rows["entities"]):
+        for x in own:
+            aliases = x["aliases"] if x["aliases"] is not None else []
+            told = tuple(a for a in aliases if _key(a) and frozenset((_key(x["name"]), _key(a))) not in table.apart)
+            table.add(Mention(chunk, x["name"], x["type"] or "", x["description"] or "", told))
+    said: dict[tuple[str, str], list] = {}
+    for chunk, r in relations:
+        a, b = (table.see(chunk, r[end]) for end in ("source", "target"))
+        if a != b:
+            said.setdefault((min(a, b), max(a, b)), []).append((chunk, r))
+    return [table.fold(g) for g in table.said], [_edge(pair, own) for pair, own in said.items()]
 
 
-def assemble_entities(extractions: DataFrame) -> DataFrame:
-    """document_id and the entities of each document's graph."""
-    keys = ["id", "name", "type", "description", "aliases", "source_chunk_ids"]
+_NODE = "id:string,name:string,type:string,description:string,aliases:array<string>,source_chunk_ids:array<string>"
+_EDGE = "src_id:string,tgt_id:string,keywords:string,description:string,weight:double,source_chunk_ids:array<string>"
+
+
+def assemble_documents(extractions: DataFrame) -> DataFrame:
+    """document_id, entities, relations: each document's graph, assembled once.  A document's extractions must fit into a task."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(assemble(rows)[0], columns=keys)
-        found.insert(0, "document_id", rows["document_id"].iloc[0])
-        return found
+        nodes, edges = assemble(rows)
+        return pd.DataFrame({"document_id": [rows["document_id"].iloc[0]], "entities": [nodes], "relations": [edges]})
 
-    return extractions.groupBy("document_id").applyInPandas(run, "document_id string, " + ENTITY)
+    return extractions.groupBy("document_id").applyInPandas(run, f"document_id string, entities array<struct<{_NODE}>>, relations array<struct<{_EDGE}>>")
 
 
-def assemble_relations(extractions: DataFrame) -> DataFrame:
-    """document_id and the relations of each document's graph."""
-    keys = ["src_id", "tgt_id", "keywords", "description", "weight", "source_chunk_ids"]
+def entities_of(documents: DataFrame) -> DataFrame:
+    """document_id and the entities of assembled documents."""
+    return documents.select("document_id", F.inline("entities"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = pd.DataFrame(assemble(rows)[1], columns=keys)
-        found.insert(0, "document_id", rows["document_id"].iloc[0])
-        return found
 
-    found = extractions.groupBy("document_id").applyInPandas(run, "document_id string, src_id string, tgt_id string, keywords string, description string, weight double, source_chunk_ids array<string>")
+def relations_of(documents: DataFrame) -> DataFrame:
+    """document_id and the relations of assembled documents."""
+    found = documents.select("document_id", F.inline("relations"))
     return found.select("document_id", relation_id("src_id", "tgt_id").alias("id"), "src_id", "tgt_id", "keywords", "description", "weight", "source_chunk_ids", F.array().cast("array<string>").alias("file_paths"))
 
 
+def assemble_entities(extractions: DataFrame) -> DataFrame:
+    """document_id and the entities of each document's graph."""
+    return entities_of(assemble_documents(extractions))
+
+
+def assemble_relations(extractions: DataFrame) -> DataFrame:
+    """document_id and the relations of each document's graph."""
+    return relations_of(assemble_documents(extractions))
+
+
 # --- merging into what is stored --------------------------------------------------------------------
 
 
@@ -338,14 +354,14 @@ def delete_relation(relations: DataFrame, vectors: DataFrame, a: str, b: str) ->
     return relations.where(~ends), vectors.join(gone, ["namespace", "id"], "left_anti")
 
 
-def delete_document(chunks: DataFrame, entities: DataFrame, relations: DataFrame, vectors: DataFrame, document_id: str) -> dict[str, DataFrame]:
-    """Without a document's chunks; entities and relations lose them, and go when none are left or an end is gone."""
-    mine = chunks.where(F.col("document_id") == document_id).select("id")
+def without_chunks(entities: DataFrame, relations: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations that lose some chunks (one column, id), and go when none are left or an end is gone."""
+    lost = chunks.select(F.col("id").alias("c"))
 
     def without(rows: DataFrame) -> DataFrame:
-        hit = rows.select("id", F.posexplode("source_chunk_ids").alias("pos", "c")).join(mine.select(F.col("id").alias("c")), "c", "left_semi").select("id").distinct()
+        hit = rows.select("id", F.posexplode("source_chunk_ids").alias("pos", "c")).join(lost, "c", "left_semi").select("id").distinct()
         # only rows that hold one of the chunks are taken apart
-        touched = rows.join(hit, "id", "left_semi").select("id", F.posexplode("source_chunk_ids").alias("pos", "c")).join(mine.select(F.col("id").alias("c")), "c", "left_anti")
+        touched = rows.join(hit, "id", "left_semi").select("id", F.posexplode("source_chunk_ids").alias("pos", "c")).join(lost, "c", "left_anti")
         left = touched.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("__left"))
         marked = rows.join(hit.withColumn("__hit", F.lit(True)), "id", "left").join(left, "id", "left")
         kept = marked.where(F.col("__hit").isNull() | F.col("__left").isNotNull())
@@ -354,11 +370,23 @@ def delete_document(chunks: DataFrame, entities: DataFrame, relations: DataFrame
     nodes = without(entities)
     ends = nodes.select("id")
     edges = without(relations).join(ends.select(F.col("id").alias("src_id")), "src_id", "left_semi").join(ends.select(F.col("id").alias("tgt_id")), "tgt_id", "left_semi").select(*relations.columns)
-    rest = chunks.where(F.col("document_id") != document_id)
+    return nodes, edges
+
+
+def delete_documents(chunks: DataFrame, entities: DataFrame, relations: DataFrame, vectors: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+    """Without the chunks of some documents (one column, document_id); entities and relations lose them."""
+    gone = documents.select("document_id").distinct()
+    nodes, edges = without_chunks(entities, relations, chunks.join(gone, "document_id", "left_semi").select("id"))
+    rest = chunks.join(gone, "document_id", "left_anti").select(*chunks.columns)
     alive = rest.select(F.lit("chunks").alias("namespace"), "id").unionByName(nodes.select(F.lit("entities").alias("namespace"), "id")).unionByName(edges.select(F.lit("relations").alias("namespace"), "id"))
     return {"chunks": rest, "entities": nodes, "relations": edges, "vectors": vectors.join(alive, ["namespace", "id"], "left_semi")}
 
 
+def delete_document(chunks: DataFrame, entities: DataFrame, relations: DataFrame, vectors: DataFrame, document_id: str) -> dict[str, DataFrame]:
+    """Without one document's chunks."""
+    return delete_documents(chunks, entities, relations, vectors, chunks.sparkSession.createDataFrame([(document_id,)], "document_id string"))
+
+
 def expand_ids(joined: DataFrame, column: str = "source_id") -> DataFrame:
     """Rows with a separator-joined list of ids, one for each id."""
     return joined.withColumn(column, F.explode(split_values(column)))

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, first_non_blank, fixed3, token_count
+from ..schemas import PARENT
 
 BUFFER_TOKENS = 16
 #: Metadata of chunks that belong to others.
-PARENT, PREVIOUS, NEXT = "lightrag.parentChunkId", "smart_chunker.prev_chunk_id", "smart_chunker.next_chunk_id"
+PREVIOUS, NEXT = "smart_chunker.prev_chunk_id", "smart_chunker.next_chunk_id"
 CONTENT, SECTION, IMAGE = "smart_chunker.content_type", "smart_chunker.section_path", "smart_chunker.primary_image_path"
 
 
@@ -71,20 +72,28 @@ def chunk_line() -> Column:
     return F.concat(F.lit("- "), "id", F.lit(" | "), fixed3("score"), F.lit(" | "), "text")
 
 
-def within_budget(rows: DataFrame, cost: Column, tokens: int, by: Sequence[str] = ()) -> DataFrame:
-    """The best rows whose running cost stays within the budget: costs are not negative, so that is up to the first that exceeds it."""
+def _running(rows: DataFrame, cost: Column, by: Sequence[str] = ()) -> DataFrame:
+    return rows.withColumn("__spent", F.sum(cost).over(Window.partitionBy(*by).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def within_budget(rows: DataFrame, cost: Column, tokens: int, by: Sequence[str] = (), least: int = 0) -> DataFrame:
+    """The best rows whose running cost stays within the budget: costs are not negative, so that is up to the first that exceeds it.
+
+    Where every row costs `least` at least, a global limit first leaves no more rows than the budget can hold.
+    """
     if tokens <= 0:
         return rows.limit(0)
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("__spent", F.sum(cost).over(w)).where(F.col("__spent") <= tokens).drop("__spent")
+    if least > 0 and not by:
+        rows = rows.orderBy(F.desc("score"), "id").limit(tokens // least)
+    return _running(rows, cost, by).where(F.col("__spent") <= tokens).drop("__spent")
 
 
 def limit_entities(rows: DataFrame, tokens: int) -> DataFrame:
-    return within_budget(rows, token_count(entity_line()), tokens)
+    return within_budget(rows, token_count(entity_line()), tokens, least=4)  # two marks, an id, a score
 
 
 def limit_relations(rows: DataFrame, tokens: int) -> DataFrame:
-    return within_budget(rows, token_count(relation_line()), tokens)
+    return within_budget(rows, token_count(relation_line()), tokens, least=6)  # four marks, two ids
 
 
 def chunk_cost() -> Column:
@@ -92,13 +101,26 @@ def chunk_cost() -> Column:
 
 
 def limit_chunks(rows: DataFrame, tokens: int) -> DataFrame:
-    return within_budget(rows, chunk_cost(), tokens)
+    """Chunks within the budget.  Those that cost nothing stay if they come before the first that exceeds it."""
+    if tokens <= 0:
+        return rows.limit(0)
+    cost = chunk_cost()
+    paid = _running(rows.where(cost > 0).orderBy(F.desc("score"), "id").limit(tokens + 1), cost)
+    over = paid.where(F.col("__spent") > tokens).orderBy(F.desc("score"), "id").limit(1).select(F.col("score").alias("__score"), F.col("id").alias("__id"))
+    before = F.col("__id").isNull() | (F.col("score") > F.col("__score")) | ((F.col("score") == F.col("__score")) & (F.col("id") < F.col("__id")))
+    free = rows.where(cost <= 0).join(F.broadcast(over), F.lit(True), "left").where(before).select(*rows.columns)  # one row
+    return paid.where(F.col("__spent") <= tokens).drop("__spent").unionByName(free)
 
 
 def remaining_budget(total: int, prompt_tokens: int, query_tokens: int) -> int:
     return max(0, total - prompt_tokens - query_tokens - BUFFER_TOKENS)
 
 
+def remaining_tokens(total: Column, prompt_tokens: Column, query_tokens: Column) -> Column:
+    """remaining_budget of rows."""
+    return F.greatest(F.lit(0), total - prompt_tokens - query_tokens - BUFFER_TOKENS)
+
+
 # --- references -------------------------------------------------------------------------------------
 
 
@@ -128,8 +150,11 @@ def expand_parents(matched: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     A parent's score is the sum of its children's; a child whose parent is not stored stays;
     captions take in the text around them.  The best k stay.
     """
-    parents = chunks.select(*[F.col(c).alias(f"p_{c}") for c in chunks.columns])
-    up = matched.join(parents, F.when(~blank(meta(PARENT)), meta(PARENT)) == F.col("p_id"), "left")
+    above = F.when(~blank(meta(PARENT)), meta(PARENT))
+    # only parents that are asked for are joined; where those are few, the chunks stay where they are
+    asked = matched.select(above.alias("p_id")).where("p_id IS NOT NULL").distinct()
+    parents = chunks.select(*[F.col(c).alias(f"p_{c}") for c in chunks.columns]).join(asked, "p_id", "left_semi")
+    up = matched.join(parents, above == F.col("p_id"), "left")
     own = [F.coalesce(f"p_{c}", c).alias(c) if c != "metadata" else F.when(F.col("p_id").isNotNull(), F.col("p_metadata")).otherwise(F.col("metadata")).alias(c) for c in chunks.columns]
     resolved = up.select(*own, "score")
     rest = [c for c in chunks.columns if c not in ("id", "metadata")]
@@ -146,12 +171,16 @@ def expand_captions(matched: DataFrame, chunks: DataFrame) -> DataFrame:
         F.col("id").alias("n_id"), F.col("text").alias("n_text"), F.col("token_count").alias("n_tokens"), meta(CONTENT).alias("n_type"),
         meta(SECTION).alias("n_section"), meta(IMAGE).alias("n_image"), meta(PREVIOUS).alias("n_prev"),
     )
+    captions = matched.where(meta(CONTENT) == "caption")
+    asked = captions.select(F.explode(F.array(meta(PREVIOUS), meta(NEXT))).alias("n_id")).where("n_id IS NOT NULL").distinct()
+    around = near.join(asked, "n_id", "left_semi")
+    beyond = near.join(around.select(F.col("n_prev").alias("n_id")).where("n_id IS NOT NULL").distinct(), "n_id", "left_semi")
     part = lambda p: F.struct(F.col(f"{p}.n_text").alias("text"), F.col(f"{p}.n_tokens").alias("tokens"))
     at = lambda p, key: (F.col(f"{p}.n_id") == key) & F.col(f"{p}.n_section").eqNullSafe(meta(SECTION, F.col("m.metadata")))
     m = matched.alias("m")
     mm = lambda k: meta(k, F.col("m.metadata"))
-    j = m.join(near.alias("a"), at("a", mm(PREVIOUS)), "left").join(near.alias("b"), at("b", F.col("a.n_prev")) & (F.col("b.n_type") == "text"), "left")
-    j = j.join(near.alias("c"), at("c", mm(NEXT)) & (F.col("c.n_type") == "text"), "left")
+    j = m.join(around.alias("a"), at("a", mm(PREVIOUS)), "left").join(beyond.alias("b"), at("b", F.col("a.n_prev")) & (F.col("b.n_type") == "text"), "left")
+    j = j.join(around.alias("c"), at("c", mm(NEXT)) & (F.col("c.n_type") == "text"), "left")
     image = (F.col("a.n_type") == "image_placeholder") & (F.col("a.n_image") == mm(IMAGE)) & ~blank(mm(IMAGE))
     own = F.struct(F.col("m.text").alias("text"), F.col("m.token_count").alias("tokens"))
     none = F.lit(None).cast("struct<text:string,tokens:int>")
@@ -206,6 +235,11 @@ def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def intersects(a: Column | str, b: Column | str) -> Column:
+    """Whether two lists share a value; null lists share none."""
+    return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
+
+
 def differences(rows: DataFrame, expected: str, actual: str) -> DataFrame:
     """rows with `missing`, expected but not there, and `orphan`, there but not expected, both sorted."""
     return rows.withColumn("missing", F.array_sort(F.array_except(expected, actual))).withColumn("orphan", F.array_sort(F.array_except(actual, expected)))

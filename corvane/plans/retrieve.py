@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import ranking
 from ..operators.filters import Condition, FilterPlan, build_plan, filter_rows
 from ..operators.graph import both_ways
-from ..operators.search import SearchSpec, batch_search, merge_keywords, spec_table
+from ..operators.search import SearchSpec, batch_search, merge_keywords, search
 
 MODES = ("NAIVE", "LOCAL", "GLOBAL", "HYBRID", "MIX", "BYPASS")
 
@@ -87,7 +87,7 @@ class Context:
 
 def _search(ws: Workspace, namespace: str, vector: Sequence[float], text: str, keywords: Sequence[str], k: int) -> DataFrame:
     spec = SearchSpec("q", namespace, vector, text, merge_keywords(keywords, []), k)
-    return batch_search(ws.vectors, spec_table(ws.spark, [spec])).select("id", "score")
+    return search(ws.vectors, spec)
 
 
 def _filtered(ws: Workspace, chunks: DataFrame, plan: FilterPlan, k: int) -> DataFrame:
@@ -188,7 +188,7 @@ def one_shot_mix(ws: Workspace, request: QueryRequest, vectors: dict[str, Sequen
     """MIX with all three searches in one batch: scores flow one step from every seed, by the plain maximum."""
     keys = {"entities": request.ll_keywords, "relations": request.hl_keywords, "chunks": merge_keywords(request.ll_keywords, request.hl_keywords)}
     specs = [SearchSpec(n, n, vectors[n], request.query, merge_keywords(w, []), request.chunk_top_k if n == "chunks" else request.top_k) for n, w in keys.items()]
-    hits = batch_search(ws.vectors, spec_table(ws.spark, specs))
+    hits = batch_search(ws.vectors, specs)
     of = lambda n: hits.where(F.col("key") == n).select("id", "score")
     near = both_ways(ws.relations).join(of("entities").withColumnRenamed("id", "entity_id"), "entity_id")
     relation_scores = ranking.best_scores(near.select(F.col("relation_id").alias("id"), "score").unionByName(of("relations")))

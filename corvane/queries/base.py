@@ -99,9 +99,19 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_chunks.unionByName(of_parts).unionByName(of_ends)
 
 
+#: The graph of the latest workspace.
+_HELD: list[DataFrame] = []
+
+
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The tables of a stored workspace, here made from the star schema; the graph is made once for all that a query asks of it."""
-    return Workspace(chunks(spark, sf_dir), entities(spark, sf_dir).persist(), relations(spark, sf_dir).persist(), vectors(spark, sf_dir))
+    """The tables of a stored workspace, here made from the star schema.
+
+    The graph is made once for all that a query asks of it, and released when the next query makes its own.
+    """
+    while _HELD:
+        _HELD.pop().unpersist()
+    _HELD.extend((entities(spark, sf_dir).persist(), relations(spark, sf_dir).persist()))
+    return Workspace(chunks(spark, sf_dir), *_HELD, vectors(spark, sf_dir))
 
 
 def asked_vector(spark: SparkSession, sf_dir: str, vec_id: int = ASKED) -> list[float]:

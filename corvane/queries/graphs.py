@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import canonical_keywords, merged_keywords, relation_id
 from ..operators import extraction, graph, materialization
-from ..sources.models import cache_id
+from ..sources.models import cache_id, generate_cached
 from .base import CTE, bare_entities, chunks, entities, register, relations, table, vectors, workspace
 
 QUERIES: dict = {}
@@ -56,15 +56,8 @@ def a6_upserted_entities(spark, sf_dir):
     return graph.upsert_entities(stored, new).select("id", "description", F.size("source_chunk_ids").cast("long").alias("n_chunks"))
 
 
-@register(QUERIES, SQL, W + "SELECT id, 'located_in' AS keywords, weight + 1 AS weight FROM relations WHERE keywords = 'located_in'")
-def a6_upserted_relations(spark, sf_dir):
-    """Places only, as its SQL asks; a6_all_upserted_relations has all relations."""
-    stored = relations(spark, sf_dir).where("keywords = 'located_in'")
-    return graph.upsert_relations(stored, stored.withColumn("keywords", F.lit("other")).withColumn("weight", F.col("weight") + 1)).select("id", "keywords", "weight")
-
-
 @register(QUERIES, SQL, W + "SELECT r.id, r.keywords, r.weight + 1 AS weight, count(chunk_id) + 1 AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) GROUP BY ALL")
-def a6_all_upserted_relations(spark, sf_dir):
+def a6_upserted_relations(spark, sf_dir):
     """Stored keywords stay; an update of every relation adds weight and a chunk beside one it has already."""
     stored = relations(spark, sf_dir)
     chunk_ids = F.concat(F.slice("source_chunk_ids", 1, 1), F.array(F.lit("new")))
@@ -227,16 +220,8 @@ def g12_attribution(spark, sf_dir):
     return extraction.attribute(item, own).select("chunk_id")
 
 
-@register(QUERIES, SQL, W + "SELECT id, src_id || chr(10) || keywords || chr(10) || tgt_id || chr(10) AS text FROM relations WHERE keywords = 'located_in'")
-def g14_embedding_texts(spark, sf_dir):
-    """Places only, as its SQL asks; g14_all_embedding_texts has all relations."""
-    from ..operators.search import relation_text
-
-    return relations(spark, sf_dir).where("keywords = 'located_in'").select("id", relation_text().alias("text"))
-
-
 @register(QUERIES, SQL, W + "SELECT id, src_id || chr(10) || keywords || chr(10) || tgt_id || chr(10) AS text FROM relations")
-def g14_all_embedding_texts(spark, sf_dir):
+def g14_embedding_texts(spark, sf_dir):
     from ..operators.search import relation_text
 
     return relations(spark, sf_dir).select("id", relation_text().alias("text"))
@@ -320,10 +305,15 @@ def g26_chunk_keys(spark, sf_dir):
     return k.select("chunk_id", F.size("expected_entities").alias("n_entities"), F.size("expected_relations").alias("n_relations"))
 
 
-@register(QUERIES, SQL)
+G25 = W + """SELECT c.id AS chunk_id, printf('%x', list_reduce(list_prepend(0::BIGINT, list_transform(string_split(c.text, ''), lambda x: unicode(x)::BIGINT)), lambda h, u: (h * 31 + u) % 4294967296)) AS content_hash, 'SUCCEEDED' AS extract_status, n::INT AS n_relations
+FROM chunks c JOIN (SELECT l_orderkey::VARCHAR AS id, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) GROUP BY 1) USING (id)"""
+
+
+@register(QUERIES, SQL, G25)
 def g25_chunk_snapshots(spark, sf_dir):
     x = _extractions(spark, sf_dir)
-    return materialization.snapshots(x, chunks(spark, sf_dir)).select("chunk_id", "content_hash", "extract_status", F.size("relations").alias("n_relations"))
+    pairs = F.size(F.array_distinct(F.transform("relations", lambda r: F.struct(r["source"], r["target"]))))
+    return materialization.snapshots(x, chunks(spark, sf_dir)).select("chunk_id", "content_hash", "extract_status", pairs.alias("n_relations"))
 
 
 G27 = W + "SELECT document_id, CASE WHEN document_id = 'customer-5' THEN 'FAILED' ELSE 'PROCESSED' END AS status, count(*)::INT AS chunks_count, sha256(string_agg(id, ',' ORDER BY chunk_order, id)) AS chunks_sha FROM chunks GROUP BY document_id"
@@ -347,14 +337,16 @@ def g28_cache_ids(spark, sf_dir):
     return materialization.cache_ids_of(materialization.attach_cache_ids(c, used), "customer-9")
 
 
-S20 = "SELECT DISTINCT 'default:extraction:' || sha256(o_orderpriority) AS id FROM orders"
+S20 = "SELECT o_orderpriority AS prompt, CASE WHEN o_orderpriority < '3' THEN 'kept' ELSE 'asked for ' || o_orderpriority END AS response, 'default:extraction:' || sha256(o_orderpriority) AS cache_id, count(*) AS n FROM orders GROUP BY 1"
 
 
 @register(QUERIES, SQL, S20)
 def s20_cache_misses(spark, sf_dir):
-    """Requests that the cache lacks, once each; here it holds none."""
-    o = table(spark, sf_dir, "orders").select(cache_id("extraction", F.col("o_orderpriority")).alias("id")).distinct()
-    return o.join(spark.createDataFrame([], "id string, value string"), "id", "left_anti")
+    """Orders' priorities as requests to a model; the cache holds two of them."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("prompt"))
+    cache = asked.where("prompt < '3'").distinct().select(cache_id("extraction", F.col("prompt")).alias("id"), F.lit("kept").alias("value"))
+    done, _ = generate_cached(asked, cache, lambda p: f"asked for {p}")
+    return done.groupBy("prompt", "response", "cache_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register(QUERIES, SQL, "SELECT DISTINCT 'rel-' || md5('nation-' || n_nationkey || 'region-' || n_regionkey) AS id FROM nation")

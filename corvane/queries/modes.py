@@ -208,7 +208,29 @@ def q13_intent(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", paths.intent(F.col("text")).alias("intent"))
 
 
-@register(QUERIES, SQL, "WITH RECURSIVE " + STEPS + "SELECT coalesce(string_agg('- ' || id || ' | ' || name, chr(10) ORDER BY round(score, 6) DESC, id), '(none)') AS text FROM local_entities")
+Q16 = """SELECT 'entities' AS section, coalesce(string_agg('- ' || id || ' | ' || name, chr(10) ORDER BY round(score, 6) DESC, id), '(none)') AS text FROM local_entities
+UNION ALL SELECT 'relations', coalesce(string_agg('- ' || src_id || ' -> ' || tgt_id || ' | ' || keywords, chr(10) ORDER BY round(score, 6) DESC, id), '(none)') FROM local_relations JOIN relations USING (id)
+UNION ALL SELECT 'chunks', coalesce(string_agg('- ' || id || ' | ' || text, chr(10) ORDER BY round(score, 6) DESC, id), '(none)') FROM local_chunks JOIN chunks USING (id)"""
+
+
+@register(QUERIES, SQL, "WITH RECURSIVE " + STEPS + Q16)
 def q16_context_text(spark, sf_dir):
-    found = retrieve.local(workspace(spark, sf_dir), REQUEST, asked_vector(spark, sf_dir)).entities
-    return engine.assembled(found.withColumn("score", F.round("score", 6)), F.concat(F.lit("- "), "id", F.lit(" | "), "name"))
+    """All three sections of LOCAL's context; scores, which the lines show as well, are left out here."""
+    found = retrieve.local(workspace(spark, sf_dir), REQUEST, asked_vector(spark, sf_dir))
+    bar = F.lit(" | ")
+    lines = {
+        "entities": (found.entities, F.concat(F.lit("- "), "id", bar, "name")), "relations": (found.relations, F.concat(F.lit("- "), "src_id", F.lit(" -> "), "tgt_id", bar, "keywords")),
+        "chunks": (found.chunks, F.concat(F.lit("- "), "id", bar, "text")),
+    }
+    parts = [engine.assembled(score(rows), line).select(F.lit(name).alias("section"), "text") for name, (rows, line) in lines.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+ONE_SHOT = STEPS + """, os_seed AS (SELECT id, score FROM seed), os_near AS (SELECT b.neighbour_id, b.relation_id, s.score FROM os_seed s JOIN both_ways b ON b.entity_id = s.id
+), os_rel AS (SELECT id, max(score) AS score FROM (SELECT relation_id AS id, score FROM os_near UNION ALL SELECT id, score FROM global_rel) GROUP BY id
+), os_ent AS (SELECT id, max(score) AS score FROM (SELECT neighbour_id AS id, score FROM os_near UNION ALL SELECT id, score FROM os_seed UNION ALL SELECT id, score FROM global_all) GROUP BY id
+), one_entities AS (SELECT id, name, score FROM (SELECT l.id, e.name, l.score, sum(len(string_split_regex('- ' || l.id || ' | ' || e.name || ' | x', '\\s+'))) OVER (ORDER BY l.score DESC, l.id ROWS UNBOUNDED PRECEDING) AS spent FROM os_ent l JOIN entities e USING (id)) WHERE spent <= 600
+), one_relations AS (SELECT id, score FROM (SELECT g.id, g.score, sum(len(string_split_regex('- ' || r.src_id || ' -> ' || r.tgt_id || ' | ' || r.keywords || ' | x', '\\s+'))) OVER (ORDER BY g.score DESC, g.id ROWS UNBOUNDED PRECEDING) AS spent FROM os_rel g JOIN relations r USING (id)) WHERE spent <= 800
+), one_chunks AS (SELECT id, max(score) AS score FROM (SELECT chunk_id AS id, score FROM one_entities JOIN entity_chunks USING (id) UNION ALL SELECT chunk_id, score FROM one_relations JOIN relation_chunks USING (id) UNION ALL SELECT id, score FROM direct) WHERE id IN (SELECT id FROM chunks) GROUP BY id ORDER BY score DESC, id LIMIT 10
+) """
+SQL["q6_one_shot_mix"] = "WITH RECURSIVE " + ONE_SHOT + " UNION ALL ".join(ALL.format(k, "one", n) for k, n in (("entity", "entities"), ("relation", "relations"), ("chunk", "chunks")))

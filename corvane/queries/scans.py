@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_list, merged_csv, split_values
+from ..functions.text import clean_list, merged_csv, merged_lists, split_values, token_count
 from ..functions.vectors import cosine, norm
 from ..operators import evaluation, ranking, search
+from ..operators.chunking import texts
 from ..operators.filters import Condition, build_plan, filter_rows, instant, to_column
 from ..operators.search import SearchSpec
 from .base import CTE, asked_vector, bare_entities, chunks, register, relations, score, table, vectors
@@ -57,15 +59,17 @@ def p5_labels_as_metadata(spark, sf_dir):
     return filter_rows(d.withColumn("metadata", m), plan).select("doc_id")
 
 
-P6 = W + "SELECT count(*) FILTER (WHERE status = 'F') AS early, count(*) FILTER (WHERE status = 'F' AND totalprice > 200000) AS kept FROM chunks"
+P6 = "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000"
 
 
 @register(QUERIES, SQL, P6)
 def p6_pushdown_split(spark, sf_dir):
-    """Equality first, on a column; the whole filter again on what is left."""
+    """The part that the table's own columns can answer goes to the scan; the whole filter again on what it gives."""
     plan = build_plan({"status": "F"}, [Condition("totalprice", "GT", 200000)])
-    early = chunks(spark, sf_dir).where(to_column(build_plan(plan.equals)))
-    return early.agg(F.count(F.lit(1)).alias("early"), F.count(F.when(to_column(plan), 1)).alias("kept"))
+    early = {"status": F.col("o_orderstatus"), "totalprice": F.col("o_totalprice")}
+    rows = table(spark, sf_dir, "orders").where(to_column(plan, F.lit(None).cast("map<string,string>"), early, native=True))
+    metadata = F.create_map(F.lit("status"), F.col("o_orderstatus"), F.lit("totalprice"), F.col("o_totalprice").cast("decimal(15,2)").cast("string"))
+    return filter_rows(rows.withColumn("metadata", metadata), plan).select("o_orderkey", "o_totalprice")
 
 
 P7 = W + "SELECT v.id, round(list_dot_product(vector, q), 6) AS score FROM vectors v JOIN chunks c ON c.id = v.id, asked WHERE namespace = 'chunks' AND c.status = 'F' ORDER BY list_dot_product(vector, q) DESC, v.id LIMIT 10"
@@ -87,22 +91,12 @@ def p9_reference_source(spark, sf_dir):
     return d.select("doc_id", ranking.source_of_chunk().alias("reference"))
 
 
-P10 = W + "SELECT r.id, r.src_id, r.tgt_id, r.keywords, r.weight, count(chunk_id) AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) WHERE keywords = 'located_in' GROUP BY ALL"
-
-
-def _structured(rows):
-    return rows.select("id", "src_id", "tgt_id", "keywords", "weight", F.size("source_chunk_ids").cast("long").alias("n_chunks"))
+P10 = W + "SELECT r.id, r.src_id, r.tgt_id, r.keywords, r.weight, count(chunk_id) AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) GROUP BY ALL"
 
 
 @register(QUERIES, SQL, P10)
 def p10_structured_relations(spark, sf_dir):
-    """Places only, as its SQL asks; p10_all_structured_relations has all relations."""
-    return _structured(relations(spark, sf_dir).where("keywords = 'located_in'"))
-
-
-@register(QUERIES, SQL, W + "SELECT r.id, r.src_id, r.tgt_id, r.keywords, r.weight, count(chunk_id) AS n_chunks FROM relations r LEFT JOIN relation_chunks USING (id) GROUP BY ALL")
-def p10_all_structured_relations(spark, sf_dir):
-    return _structured(relations(spark, sf_dir))
+    return relations(spark, sf_dir).select("id", "src_id", "tgt_id", "keywords", "weight", F.size("source_chunk_ids").cast("long").alias("n_chunks"))
 
 
 # --- search ------------------------------------------------------------------------------------------
@@ -116,14 +110,13 @@ def v1_semantic_top_k(spark, sf_dir):
     return score(search.semantic_search(e, asked_vector(spark, sf_dir), 20).select(F.col("id").alias("vec_id"), "score"))
 
 
-V2 = "SELECT e.vec_id, round(list_dot_product(e.v, a.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(a.v, a.v))), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 11) a ORDER BY score DESC, vec_id LIMIT 20"
+V2 = "SELECT e.vec_id, round(list_dot_product(e.v, a.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(a.v, a.v))), 6) AS score FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 11) a ORDER BY list_dot_product(e.v, a.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(a.v, a.v))) DESC, vec_id LIMIT 20"
 
 
 @register(QUERIES, SQL, V2)
 def v2_cosine_top_k(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    scored = score(e.select("id", cosine("vector", search.vector_literal(asked_vector(spark, sf_dir, 11))).alias("score")))
-    return search.top_k(scored, 20).select(F.col("id").alias("vec_id"), "score")
+    return score(search.semantic_search(e, asked_vector(spark, sf_dir, 11), 20, metric="cosine").select(F.col("id").alias("vec_id"), "score"))
 
 
 KEYWORDS = "SELECT p_partkey, (contains(lower(p_name || ' ' || p_type), 'small')::INT + contains(lower(p_name || ' ' || p_type), 'ring')::INT + contains(lower(p_name || ' ' || p_type), 'brand#2')::INT + contains(lower(p_name || ' ' || p_type), 'economy')::INT + (lower(p_brand) IN ('small', 'ring', 'brand#2', 'economy'))::INT + (lower(p_type) IN ('small', 'ring', 'brand#2', 'economy'))::INT)::DOUBLE AS score FROM part"
@@ -150,21 +143,28 @@ def v4_hybrid_scores(spark, sf_dir):
     return search.top_k(score(both), 50).select(F.col("id").alias("p_partkey"), "score")
 
 
-@register(QUERIES, SQL, "SELECT * FROM (VALUES ('a', 'SEMANTIC'), ('b', 'KEYWORD'), ('c', 'HYBRID')) t(key, mode)")
+V5 = "SELECT p_partkey::VARCHAR AS key, CASE WHEN trim(p_brand) = '' OR p_size % 3 = 0 THEN 'SEMANTIC' WHEN p_size % 3 = 1 THEN 'HYBRID' ELSE 'KEYWORD' END AS mode FROM part"
+
+
+@register(QUERIES, SQL, V5)
 def v5_search_modes(spark, sf_dir):
-    specs = [SearchSpec("a", "chunks", [1.0]), SearchSpec("b", "chunks", [], "x", ["x"]), SearchSpec("c", "chunks", [1.0], "x", ["x"])]
-    return search.spec_table(spark, specs).select("key", "mode")
+    """Parts as searches: a third without keywords, a third without a vector, a third with both."""
+    n = F.col("p_size") % 3
+    words = F.when(n == 0, F.array(F.lit(" "))).otherwise(F.array("p_brand"))
+    vector = F.when(n == 2, F.array().cast("array<double>")).otherwise(F.array(F.lit(1.0)))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), search.mode_column(vector, words).alias("mode"))
 
 
-V6 = """WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zà-öø-ÿœß0-9]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM t WHERE w <> '' GROUP BY ALL)
-SELECT doc_id, count(*) AS n_terms, round(max(1 + ln(n)), 6) AS heaviest FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS k FROM c) WHERE k <= 256 GROUP BY doc_id"""
+V6 = """WITH t AS (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-zà-öø-ÿœß0-9]+')) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM t WHERE w <> '' GROUP BY ALL),
+k AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) AS k FROM c)
+SELECT doc_id, count(*) AS n_terms, round(max(1 + ln(n)), 6) AS heaviest, round(min(1 + ln(n)), 6) AS lightest, round(sum(1 + ln(n)), 4) AS weight FROM k WHERE k <= 256 GROUP BY doc_id"""
 
 
 @register(QUERIES, SQL, V6)
 def v6_sparse_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     t = search.sparse_vectors(d, text="text")
-    return t.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("heaviest"))
+    return t.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.min("weight"), 6).alias("lightest"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 def _sparse_and_dense(spark, sf_dir):
@@ -204,7 +204,7 @@ V8 = W + """SELECT key, id, round(score, 6) AS score, rank::INT AS rank FROM (
 def v8_batch_search(spark, sf_dir):
     v = lambda n: asked_vector(spark, sf_dir, n)
     specs = [SearchSpec("a", "chunks", v(3), k=5), SearchSpec("b", "entities", v(4), k=7), SearchSpec("c", "relations", v(5), k=3), SearchSpec("d", "chunks", v(5), k=4)]
-    return score(search.batch_search(vectors(spark, sf_dir), search.spec_table(spark, specs)))
+    return score(search.batch_search(vectors(spark, sf_dir), specs))
 
 
 V9 = "SELECT key, vec_id, round(s, 6) AS score FROM (SELECT q.label AS key, e.vec_id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.label ORDER BY list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, e.vec_id) AS k FROM embeddings e, (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label) q) WHERE k <= 5"
@@ -270,7 +270,8 @@ def _sets(spark, sf_dir):
 
 @register(QUERIES, SQL, f"SELECT l_orderkey, array_to_string(list_sort(list_distinct(parts || supps)), ',') AS ids FROM ({SETS})")
 def u2_union_of_ids(spark, sf_dir):
-    return _sets(spark, sf_dir).select("l_orderkey", F.array_join(F.array_sort(F.array_union("parts", "supps")).cast("array<string>"), ",").alias("ids"))
+    rows = _sets(spark, sf_dir)
+    return rows.select("l_orderkey", F.array_join(F.array_sort(merged_lists(F.col("parts").cast("array<string>"), F.col("supps").cast("array<string>")).cast("array<bigint>")).cast("array<string>"), ",").alias("ids"))
 
 
 @register(QUERIES, SQL, f"SELECT l_orderkey, array_to_string(list_filter(parts, lambda x: NOT list_contains(supps, x)), ',') AS missing, array_to_string(list_filter(supps, lambda x: NOT list_contains(parts, x)), ',') AS orphan FROM ({SETS})")
@@ -281,7 +282,7 @@ def u3_missing_and_orphan(spark, sf_dir):
 
 @register(QUERIES, SQL, f"SELECT l_orderkey, list_has_any(parts, supps) AS shared FROM ({SETS})")
 def u4_intersects(spark, sf_dir):
-    return _sets(spark, sf_dir).select("l_orderkey", F.arrays_overlap("parts", "supps").alias("shared"))
+    return _sets(spark, sf_dir).select("l_orderkey", ranking.intersects("parts", "supps").alias("shared"))
 
 
 U5 = "SELECT c_custkey, c_name || '<SEP>' || c_mktsegment AS joined, 2::INT AS n FROM customer"
@@ -396,9 +397,13 @@ def w2_chunk_budget(spark, sf_dir):
     return ranking.limit_chunks(c, 700).select("id", "token_count")
 
 
-@register(QUERIES, SQL, "SELECT 30000 - 12 - 3 - 16 AS remaining, 0 AS spent_all")
+W3 = "SELECT doc_id, greatest(0, 500 - 12 - len(list_filter(string_split_regex(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '')) - 16)::INT AS remaining FROM documents"
+
+
+@register(QUERIES, SQL, W3)
 def w3_remaining_budget(spark, sf_dir):
-    return spark.range(1).select(F.lit(ranking.remaining_budget(30000, 12, 3)).alias("remaining"), F.lit(ranking.remaining_budget(10, 12, 3)).alias("spent_all"))
+    """What a document as a query leaves of 500 tokens, with a prompt of 12."""
+    return table(spark, sf_dir, "documents").select("doc_id", ranking.remaining_tokens(F.lit(500), F.lit(12), token_count("text")).cast("int").alias("remaining"))
 
 
 @register(QUERIES, SQL, W + "SELECT id, '- ' || src_id || ' -> ' || tgt_id || ' | ' || keywords || ' | ' || CASE WHEN weight = 1 THEN '1.000' ELSE weight::INT || '.000' END AS line FROM relations")
@@ -421,49 +426,49 @@ def w6_neighbours(spark, sf_dir):
     return ranking.neighbours(c).select(F.col("document_id").alias("conv_id"), F.col("id").alias("turn"), F.col("prev_id").alias("prev_turn"), F.col("next_id").alias("next_turn"))
 
 
-W7 = """WITH d AS (SELECT vec_id, 1 - list_dot_product(v, n) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(n, n))) AS distance FROM (
-    SELECT vec_id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (ORDER BY vec_id) AS n FROM embeddings WHERE label = 3) WHERE n IS NOT NULL)
-SELECT vec_id, round(distance, 6) AS distance, round((coalesce(lead(distance) OVER w, distance) - coalesce(lag(distance) OVER w, distance)) / CASE WHEN lag(distance) OVER w IS NULL OR lead(distance) OVER w IS NULL THEN 1 ELSE 2 END, 6) AS gradient FROM d WINDOW w AS (ORDER BY vec_id)"""
+W7 = """WITH d AS (SELECT label, vec_id, 1 - list_dot_product(v, n) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(n, n))) AS distance FROM (
+    SELECT label, vec_id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n IS NOT NULL)
+SELECT label, vec_id, round(distance, 6) AS distance, round((coalesce(lead(distance) OVER w, distance) - coalesce(lag(distance) OVER w, distance)) / CASE WHEN lag(distance) OVER w IS NULL AND lead(distance) OVER w IS NULL THEN 1 WHEN lag(distance) OVER w IS NULL OR lead(distance) OVER w IS NULL THEN 1 ELSE 2 END, 6) AS gradient FROM d WINDOW w AS (PARTITION BY label ORDER BY vec_id)"""
 
 
-def _steps(e):
-    from pyspark.sql import Window
+def _distances(rows):
+    """vec_id and distance of each vector but the last of a label's rows, by the chunker's own functions."""
+    rows = rows.sort_values("vec_id")
+    return rows["vec_id"].tolist()[:-1], [texts.cosine_distance(a, b) for a, b in zip(rows["v"], rows["v"][1:])]
 
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = e.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    d = e.withColumn("n", F.lead("v").over(w)).where("n IS NOT NULL").select("label", "vec_id", (1 - cosine("v", "n")).alias("distance"))
-    before, after = F.lag("distance").over(w), F.lead("distance").over(w)
-    width = F.when(before.isNull() | after.isNull(), 1).otherwise(2)
-    slope = (F.coalesce(after, "distance") - F.coalesce(before, "distance")) / width
-    return d.select("label", "vec_id", F.round("distance", 6).alias("distance"), F.round(slope, 6).alias("gradient"))
+
+def _labelled(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v")).groupBy("label")
 
 
 @register(QUERIES, SQL, W7)
 def w7_distances_and_gradient(spark, sf_dir):
-    """Distances between neighbours of one label's vectors, and their slope; w7_all_distances_and_gradients has all labels."""
-    return _steps(table(spark, sf_dir, "embeddings").where("label = 3")).drop("label")
-
-
-W7_ALL = """WITH d AS (SELECT label, vec_id, 1 - list_dot_product(v, n) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(n, n))) AS distance FROM (
-    SELECT label, vec_id, embedding::DOUBLE[] AS v, lead(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n IS NOT NULL)
-SELECT label, vec_id, round(distance, 6) AS distance, round((coalesce(lead(distance) OVER w, distance) - coalesce(lag(distance) OVER w, distance)) / CASE WHEN lag(distance) OVER w IS NULL OR lead(distance) OVER w IS NULL THEN 1 ELSE 2 END, 6) AS gradient FROM d WINDOW w AS (PARTITION BY label ORDER BY vec_id)"""
+    """Distances between neighbours of each label's vectors, and their slope, as the semantic chunker takes them."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, distances = _distances(rows)
+        slope = texts.threshold(distances, "gradient")[0] if distances else []
+        return pd.DataFrame({"label": rows["label"].iloc[:1].tolist() * len(ids), "vec_id": ids, "distance": distances, "gradient": slope})
 
-@register(QUERIES, SQL, W7_ALL)
-def w7_all_distances_and_gradients(spark, sf_dir):
-    """The same for every label's vectors."""
-    return _steps(table(spark, sf_dir, "embeddings"))
+    found = _labelled(spark, sf_dir).applyInPandas(run, "label long, vec_id long, distance double, gradient double")
+    return found.select("label", "vec_id", F.round("distance", 6).alias("distance"), F.round("gradient", 6).alias("gradient"))
 
 
-W8 = "SELECT label, round(quantile_cont(x, 0.95), 6) AS p95, round(avg(x) + 3 * stddev_pop(x), 6) AS deviation, round(avg(x) + 1.5 * (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)), 6) AS interquartile FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY label"
+W8 = "WITH d AS (" + W7.split("WITH d AS (")[1].split(")\nSELECT")[0] + """)
+SELECT label, round(quantile_cont(distance, 0.95), 6) AS p95, round(avg(distance) + 3 * stddev_pop(distance), 6) AS deviation, round(avg(distance) + 1.5 * (quantile_cont(distance, 0.75) - quantile_cont(distance, 0.25)), 6) AS interquartile FROM d GROUP BY label"""
 
 
 @register(QUERIES, SQL, W8)
 def w8_thresholds(spark, sf_dir):
-    x = F.col("x")
-    p = lambda q: F.percentile(x, F.lit(q))
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].cast("double").alias("x"))
-    return e.groupBy("label").agg(F.round(p(0.95), 6).alias("p95"), F.round(F.avg(x) + 3 * F.stddev_pop(x), 6).alias("deviation"), F.round(F.avg(x) + 1.5 * (p(0.75) - p(0.25)), 6).alias("interquartile"))
+    """The chunker's thresholds over each label's distances."""
+    kinds = {"p95": "percentile", "deviation": "standard_deviation", "interquartile": "interquartile"}
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        distances = _distances(rows)[1]
+        return pd.DataFrame([{"label": rows["label"].iloc[0], **{n: texts.threshold(distances, k)[1] for n, k in kinds.items()}}] if distances else [], columns=["label", *kinds])
+
+    found = _labelled(spark, sf_dir).applyInPandas(run, "label long, " + ", ".join(f"{n} double" for n in kinds))
+    return found.select("label", *[F.round(n, 6).alias(n) for n in kinds])
 
 
 @register(QUERIES, SQL, W + "SELECT entity_id, relation_id FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY relation_id) AS k FROM both_ways) WHERE k <= 5")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters
 from ..operators.chunking import frames, windows
 from ..operators.chunking.texts import Sizing
+from ..schemas import LEVEL, SEARCHABLE
 from ..sources import files
 from .base import register, table
 
@@ -59,7 +60,7 @@ def _embed(texts):
 
 
 for name, query in (
-    ("c3_recursive", _by("R")), ("c4_regex", _by("REGEX", rules=(r"^[A-ZÀ-Ý][^\n]{0,40}\.$",))), ("c5_semantic_vector", _by("V", embed=_embed)), ("c6_paragraphs", _by("P")),
+    ("c3_recursive", _by("R")), ("c4_regex", _by("REGEX", rules=(r"^[A-ZÀ-Ý][^\n]{0,40}\.$",))), ("c5_semantic_vector", _by("V", embed=_embed)),
     ("c7_smart", _by("SMART", granularity="FINE", merge=None)), ("c11_merged_neighbours", _by("SMART", base=Sizing(150, 300, 20), merge=0.3)), ("c17_orchestrated", _by("AUTO", granularity="COARSE")),
 ):
     QUERIES[name] = query
@@ -107,7 +108,7 @@ def c12_word_overlap(spark, sf_dir):
 @register(QUERIES, SQL)
 def c13_parents_and_children(spark, sf_dir):
     c = frames.parents_and_children(windows.fixed_windows(_documents(spark, sf_dir), 1000, 100))
-    return c.select("id", "document_id", "chunk_order", F.col("metadata")["lightrag.chunkLevel"].alias("level"), F.sha2("text", 256).alias("text_sha256"))
+    return c.select("id", "document_id", "chunk_order", F.col("metadata")[LEVEL].alias("level"), F.sha2("text", 256).alias("text_sha256"))
 
 
 C14 = "SELECT conv_id, turn FROM (SELECT *, max((role = 'system')::INT) OVER (PARTITION BY conv_id) AS flagged, max((role = 'assistant')::INT) OVER (PARTITION BY conv_id) AS kids FROM conversations) WHERE CASE WHEN flagged = 1 THEN role = 'system' WHEN kids = 1 THEN role = 'assistant' ELSE role <> 'assistant' END"
@@ -117,25 +118,53 @@ C14 = "SELECT conv_id, turn FROM (SELECT *, max((role = 'system')::INT) OVER (PA
 def c14_searchable(spark, sf_dir):
     """System turns are marked searchable, assistant turns are children."""
     c = table(spark, sf_dir, "conversations")
-    m = F.when(F.col("role") == "system", F.create_map(F.lit("lightrag.searchable"), F.lit("true"))).when(F.col("role") == "assistant", F.create_map(F.lit("lightrag.chunkLevel"), F.lit("child"))).otherwise(F.create_map(F.lit("lightrag.chunkLevel"), F.lit("parent")))
+    m = F.when(F.col("role") == "system", F.create_map(F.lit(SEARCHABLE), F.lit("true"))).when(F.col("role") == "assistant", F.create_map(F.lit(LEVEL), F.lit("child"))).otherwise(F.create_map(F.lit(LEVEL), F.lit("parent")))
     rows = c.select(F.col("conv_id").alias("document_id"), "turn", m.alias("metadata"))
     return windows.searchable(rows).select(F.col("document_id").alias("conv_id"), "turn")
 
 
-@register(QUERIES, SQL, "SELECT * FROM (VALUES ('F', 'FIXED'), ('r', 'RECURSIVE'), (' vector ', 'SEMANTIC_VECTOR'), ('', 'AUTO'), ('paragraph_semantic', 'PARAGRAPH'), ('Smart', 'SMART')) t(name, strategy)")
+C4 = f"""WITH l AS (SELECT doc_id, generate_subscripts(a, 1) AS pos, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text <> '')
+), g AS (SELECT *, sum(regexp_full_match(line, '[A-ZÀ-Ý].{{0,40}}\\.')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l
+), p AS (SELECT doc_id, part, trim(string_agg(line, chr(10) ORDER BY pos), {BLANKS}) AS t FROM g GROUP BY ALL), many AS (SELECT doc_id FROM p WHERE t <> '' GROUP BY doc_id HAVING count(*) > 1)
+""" + NUMBERED.format(f"SELECT doc_id::VARCHAR AS document_id, part AS i, t FROM p WHERE doc_id IN (FROM many) UNION ALL SELECT document_id, i, trim(substr(text, (i * 900 + 1)::INT, 1000), {BLANKS}) AS t FROM (SELECT doc_id::VARCHAR AS document_id, text, {WINDOWS.format('text', 1000, 900)} AS i FROM documents WHERE doc_id NOT IN (FROM many))", "i")
+SQL["c4_regex"] = C4
+
+
+@register(QUERIES, SQL)
+def c6_paragraphs(spark, sf_dir):
+    """Conversations as parsed documents: turns as paragraphs, and as tables in Markdown, HTML and JSON with a row for each sentence."""
+    c = table(spark, sf_dir, "conversations")
+    cells = F.filter(F.split(F.regexp_replace("text", r"[|<>\s]+", " "), r"(?<=[.?!]) "), lambda s: F.trim(s) != "")
+    markdown = F.concat(F.lit("| n | said |\n|---|---|\n"), F.array_join(F.transform(cells, lambda s, i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), s, F.lit(" |"))), "\n"))
+    html = F.concat(F.lit("<table><tr><th>n</th><th>said</th></tr>"), F.array_join(F.transform(cells, lambda s, i: F.concat(F.lit("<tr><td>"), i.cast("string"), F.lit("</td><td>"), s, F.lit("</td></tr>"))), ""), F.lit("</table>"))
+    rows = F.to_json(F.concat(F.array(F.array(F.lit("n"), F.lit("said"))), F.transform(cells, lambda s, i: F.array(i.cast("string"), s))))
+    kind = F.col("turn") % 4
+    text = F.when(kind == 1, markdown).when(kind == 2, html).when(kind == 3, rows).otherwise(F.col("text"))
+    block = F.struct(F.col("turn"), F.col("turn").cast("string").alias("block_id"), F.when(kind == 0, "PARAGRAPH").otherwise("TABLE").alias("block_type"), text.alias("text"), F.concat(F.lit("Talk"), F.when(F.col("turn") >= 4, " > Later").otherwise("")).alias("section_path"))
+    d = c.groupBy(F.col("conv_id").cast("string").alias("id")).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    d = d.select("id", F.lit("Talk").alias("title"), F.lit("").alias("content"), F.create_map().cast("map<string,string>").alias("metadata"), F.transform("blocks", lambda b: b.dropFields("turn")).alias("blocks"))
+    return _digest(frames.chunk_documents(d, frames.ChunkOptions("P")))
+
+
+C18 = "SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'FIXED' WHEN 1 THEN 'RECURSIVE' WHEN 2 THEN 'SEMANTIC_VECTOR' WHEN 3 THEN 'AUTO' WHEN 4 THEN 'PARAGRAPH' ELSE CASE WHEN p_partkey % 2 = 0 THEN 'SMART' END END AS strategy FROM part"
+
+
+@register(QUERIES, SQL, C18)
 def c18_strategy_names(spark, sf_dir):
-    names = ("F", "r", " vector ", "", "paragraph_semantic", "Smart")
-    return spark.createDataFrame([(n, frames.strategy_of(n)) for n in names], "name string, strategy string")
+    """Names by parts' sizes, in many spellings; unknown ones have no strategy."""
+    names = F.array(*[F.lit(n) for n in ("F", "r", " vector ", "", "paragraph_semantic")])
+    name = F.coalesce(F.get(names, F.col("p_size") % 6), F.when(F.col("p_partkey") % 2 == 0, "Smart").otherwise("clever"))
+    return table(spark, sf_dir, "part").select("p_partkey", frames.strategy_column(name).alias("strategy"))
 
 
-C19 = "SELECT doc_id, length(regexp_replace(replace(text || ' 5 \\% more', '\\%', '%'), '([0-9])\\s+%', '\\1%', 'g')) AS n FROM documents WHERE NOT regexp_matches(text, '[A-Za-z]{2}-\\n[A-Za-z]{2}')"
+C19 = r"""SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(replace(text || ' an exam-' || chr(10) || 'ple, 5 \% more', '\%', '%'), '([0-9])\s+%', '\1%', 'g'), '([A-Za-z]{2})-\n([A-Za-z]{2})', '\1\2', 'g'), '([A-Za-z]{2})-\n([A-Za-z]{2})', '\1\2', 'g')) AS n FROM documents"""
 
 
 @register(QUERIES, SQL, C19)
 def c19_ocr_repair(spark, sf_dir):
-    """All documents; the SQL leaves out null texts and those with a word broken at a line's end, for want of look-behind."""
+    """All documents, each with a word broken at a line's end and an escaped percent sign; in SQL twice, as breaks that share a word overlap."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.char_length(filters.repair_ocr(F.concat("text", F.lit(r" 5 \% more")))).cast("long").alias("n"))
+    return d.select("doc_id", F.char_length(filters.repair_ocr(F.concat("text", F.lit(" an exam-\nple, 5 \\% more")))).cast("long").alias("n"))
 
 
 @register(QUERIES, SQL, "SELECT conv_id::VARCHAR AS document_id, 'orders with gaps' AS problem FROM (SELECT conv_id, count(*) AS n, min(turn) AS a, max(turn) AS b FROM conversations WHERE role <> 'system' GROUP BY conv_id) WHERE a <> 0 OR b <> n - 1")

@@ -20,3 +20,6 @@ TASK_EVENT = "event_id string, task_id string, scope string, event_type string,
 
 #: The namespaces of vectors.
 CHUNKS, ENTITIES, RELATIONS = "chunks", "entities", "relations"
+
+#: Metadata keys of parents and children: kind, parent's id, parent's summary, and whether a search may find the chunk.
+LEVEL, PARENT, SUMMARY, SEARCHABLE = "corvane.level", "corvane.parent", "corvane.parent_summary", "corvane.searchable"

@@ -18,7 +18,7 @@ class TaskLog:
     """Events of tasks, kept in order; a listener's failure is an event, not an error."""
 
     def __init__(self, listeners: list[Callable[[dict], None]] = ()):
-        self.listeners, self.events, self._lock = list(listeners), [], threading.Lock()
+        self.listeners, self.events, self._lock, self._taken = list(listeners), [], threading.Lock(), 0
 
     def publish(self, task_id: str, event_type: str, scope: str = "TASK", **attributes: str) -> None:
         event = {"event_id": uuid.uuid4().hex, "task_id": task_id, "scope": scope, "event_type": event_type, "occurred_at": datetime.now(timezone.utc), "attributes": {k: str(v) for k, v in attributes.items()}}
@@ -31,6 +31,12 @@ class TaskLog:
                 with self._lock:
                     self.events.append({**event, "event_id": uuid.uuid4().hex, "event_type": "LISTENER_FAILED", "attributes": {"message": str(e)}})
 
+    def take(self) -> list[dict]:
+        """Events since the last call."""
+        with self._lock:
+            new, self._taken = self.events[self._taken :], len(self.events)
+        return new
+
     @contextmanager
     def task(self, name: str) -> Iterator[str]:
         task_id = uuid.uuid4().hex

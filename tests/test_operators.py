@@ -1,5 +1,6 @@
-"""Operators on small tables, against what the reference's own cases expect."""
+"""Operators on small tables."""
 
+import json
 import random
 
 import pytest
@@ -21,10 +22,10 @@ from corvane.schemas import CHUNK, ENTITY, EXTRACTION, RELATION
 def people(spark):
     """Three people, two edges."""
     m = lambda r, s: {"region": r, "score": s}
-    chunks = spark.createDataFrame([("chunk-1", "doc-1", "Alice works with Bob", 4, 0, m("shanghai", "95")), ("chunk-2", "doc-1", "Bob supports Alice", 4, 1, m("beijing", "82")), ("chunk-3", "doc-2", "Bob reports to Carol", 4, 0, m("shanghai", "88"))], CHUNK)
-    entities = spark.createDataFrame([("alice", "Alice", "person", "Researcher", [], ["chunk-1"]), ("bob", "Bob", "person", "Engineer", ["Robert"], ["chunk-2", "chunk-3"]), ("carol", "Carol", "person", "Manager", [], ["chunk-3"])], ENTITY)
-    relations = spark.createDataFrame([("rel-1", "alice", "bob", "works_with", "", 0.8, ["chunk-1", "chunk-2"], []), ("rel-2", "bob", "carol", "reports_to", "", 0.6, ["chunk-3"], [])], RELATION)
-    v = [("chunks", "chunk-1", [1.0, 0.0]), ("chunks", "chunk-2", [0.7, 0.3]), ("chunks", "chunk-3", [0.0, 1.0]), ("entities", "alice", [1.0, 0.0]), ("entities", "bob", [0.6, 0.4]), ("entities", "carol", [0.0, 1.0]), ("relations", "rel-1", [1.0, 0.0]), ("relations", "rel-2", [0.0, 1.0])]
+    chunks = spark.createDataFrame([("chunk-1", "doc-1", "Ida maps reefs with Tom", 4, 0, m("north", "71")), ("chunk-2", "doc-1", "Tom pilots for Ida", 4, 1, m("south", "64")), ("chunk-3", "doc-2", "Tom writes to Uma", 4, 0, m("north", "90"))], CHUNK)
+    entities = spark.createDataFrame([("ida", "Ida", "person", "Diver", [], ["chunk-1"]), ("tom", "Tom", "person", "Skipper", ["Thomas"], ["chunk-2", "chunk-3"]), ("uma", "Uma", "person", "Editor", [], ["chunk-3"])], ENTITY)
+    relations = spark.createDataFrame([("rel-1", "ida", "tom", "maps_with", "", 0.8, ["chunk-1", "chunk-2"], []), ("rel-2", "tom", "uma", "writes_to", "", 0.6, ["chunk-3"], [])], RELATION)
+    v = [("chunks", "chunk-1", [1.0, 0.0]), ("chunks", "chunk-2", [0.8, 0.2]), ("chunks", "chunk-3", [0.0, 1.0]), ("entities", "ida", [1.0, 0.0]), ("entities", "tom", [0.5, 0.4]), ("entities", "uma", [0.0, 1.0]), ("relations", "rel-1", [1.0, 0.0]), ("relations", "rel-2", [0.0, 1.0])]
     vectors = spark.createDataFrame([(*x, "", []) for x in v], "namespace string, id string, vector array<double>, searchable_text string, keywords array<string>")
     return Workspace(chunks, entities, relations, vectors)
 
@@ -35,20 +36,20 @@ def ids(rows):
 
 def test_local(people):
     found = retrieve.local(people, QueryRequest("q", "LOCAL", top_k=1, chunk_top_k=2), [1.0, 0.0])
-    assert ids(found.entities) == ["alice", "bob"] and ids(found.relations) == ["rel-1"] and ids(found.chunks) == ["chunk-1", "chunk-2"]
+    assert ids(found.entities) == ["ida", "tom"] and ids(found.relations) == ["rel-1"] and ids(found.chunks) == ["chunk-1", "chunk-2"]
 
 
 def test_naive_filters_what_it_found(people):
-    request = QueryRequest("q", "NAIVE", chunk_top_k=2, filters={"region": "shanghai"})
+    request = QueryRequest("q", "NAIVE", chunk_top_k=2, filters={"region": "north"})
     assert ids(retrieve.naive(people, request, [1.0, 0.0])) == ["chunk-1"]
 
 
 def test_mix_asks_for_more(spark):
-    names = [("chunk-1", "shanghai"), ("chunk-2", "beijing"), ("chunk-3", "beijing"), ("chunk-4", "shanghai")]
+    names = [("chunk-1", "north"), ("chunk-2", "south"), ("chunk-3", "south"), ("chunk-4", "north")]
     chunks = spark.createDataFrame([(c, "d", c, 1, i, {"region": r}) for i, (c, r) in enumerate(names)], CHUNK)
     vectors = spark.createDataFrame([("chunks", c, [s], "", []) for c, s in (("chunk-1", 0.95), ("chunk-2", 0.94), ("chunk-3", 0.93), ("chunk-4", 0.92))], "namespace string, id string, vector array<double>, searchable_text string, keywords array<string>")
     ws = Workspace(chunks, spark.createDataFrame([], ENTITY), spark.createDataFrame([], RELATION), vectors)
-    found = retrieve.mix(ws, QueryRequest("q", chunk_top_k=2, filters={"region": "shanghai"}), [1.0])
+    found = retrieve.mix(ws, QueryRequest("q", chunk_top_k=2, filters={"region": "north"}), [1.0])
     assert ids(found.chunks) == ["chunk-1", "chunk-4"]
 
 
@@ -69,13 +70,54 @@ def test_seed_scores_against_the_loop():
 
 
 def test_keyword_and_hybrid_scores(spark):
+    """A point for each asked word in the text and one for each among the keywords; hybrid adds the inner product."""
     s = "namespace string, id string, vector array<double>, searchable_text string, keywords array<string>"
-    v = spark.createDataFrame([("c", "chunk-1", [1.0, 0.0], "Milvus hybrid retrieval with BM25 sparse index", ["milvus", "hybrid", "bm25"]), ("c", "chunk-2", [0.0, 1.0], "Graph traversal only", ["neo4j", "graph"])], s)
-    spec = search.SearchSpec("q", "c", [], "milvus bm25", ["milvus", "bm25"], 2)
-    assert [(r.id, r.score) for r in search.batch_search(v, search.spec_table(spark, [spec])).orderBy("rank").collect()] == [("chunk-1", 4.0), ("chunk-2", 0.0)]
-    v = spark.createDataFrame([("c", "chunk-1", [0.2, 1.0], "Milvus hybrid retrieval with BM25 sparse index", ["milvus", "hybrid", "bm25"]), ("c", "chunk-2", [1.0, 0.0], "Dense embedding semantics only", ["semantic", "dense"])], s)
-    spec = search.SearchSpec("q", "c", [1.0, 0.0], "milvus hybrid", ["milvus", "hybrid"], 2)
-    assert [(r.id, r.score) for r in search.batch_search(v, search.spec_table(spark, [spec])).orderBy("rank").collect()] == [("chunk-1", 4.2), ("chunk-2", 1.0)]
+    rows = [("n", "tide", [0.5, 0.5], "Tables of spring tides and moon phases", ["tide", "moon"]), ("n", "loam", [0.0, 2.0], "Loam holds water", ["soil"]), ("other", "moon", [9.0, 9.0], "moon tide", ["moon", "tide"])]
+    v = spark.createDataFrame(rows, s)
+    found = lambda specs: [(r.key, r.id, r.score) for r in search.batch_search(v, specs).orderBy("key", "rank").collect()]
+    words = search.SearchSpec("w", "n", [], "moon tide", ["moon", "tide"], 2)
+    both = search.SearchSpec("h", "n", [0.0, 3.0], "water", ["moon"], 1)
+    assert found([words]) == [("w", "tide", 4.0), ("w", "loam", 0.0)]
+    assert found([words, both]) == [("h", "loam", 7.0), *found([words])]
+    assert found(search.spec_table(spark, [words, both])) == found([words, both]) and found([]) == []
+    assert [(r.id, r.score) for r in search.search(v, both).collect()] == [("loam", 7.0)]
+
+
+def test_searches_in_blocks(spark, monkeypatch):
+    s = "namespace string, id string, vector array<double>, searchable_text string, keywords array<string>"
+    v = spark.createDataFrame([("n", f"v{i:02}", [float(i), 1.0], "", []) for i in range(40)], s)
+    specs = [search.SearchSpec(f"q{i}", "n", [1.0 if i % 2 else -1.0, 0.0], k=i % 4) for i in range(7)]
+    want = sorted((r.key, r.id, r.rank) for r in search.batch_search(v, specs).collect())
+    assert len(want) == sum(i % 4 for i in range(7))
+    monkeypatch.setattr(search, "BLOCK", 2)
+    for given in (specs, search.spec_table(spark, specs)):
+        assert sorted((r.key, r.id, r.rank) for r in search.batch_search(v, given).collect()) == want
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_vectors_stay_where_they_are(spark, tmp_path):
+    """The searches are broadcast, the namespace reaches the scan, each task sends the largest k only."""
+    spark.range(10).selectExpr("concat('n', id % 2) AS namespace", "string(id) AS id", "array(double(id)) AS vector", "'' AS searchable_text", "array('') AS keywords").write.parquet(str(tmp_path / "v"))
+    v = spark.read.parquet(str(tmp_path / "v"))
+    plan = plan_of(search.batch_search(v, [search.SearchSpec("a", "n0", [1.0], k=2), search.SearchSpec("b", "n1", [1.0], k=3)]))
+    assert "WindowGroupLimit" in plan and "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1 and "In(namespace" in plan
+    plan = plan_of(search.batch_search(v, search.spec_table(spark, [search.SearchSpec("a", "n0", [1.0], k=2)])))
+    assert "WindowGroupLimit" in plan and "Exchange hashpartitioning(namespace" not in plan and "BroadcastExchange" in plan
+    plan = plan_of(search.search(v, search.SearchSpec("a", "n0", [1.0], k=2)))
+    assert "TakeOrderedAndProject" in plan and "hashpartitioning" not in plan and "EqualTo(namespace,n0)" in plan
+
+
+def test_budgets_keep_few_rows(spark):
+    """No more rows than a budget can hold reach the one task that adds up."""
+    rows = spark.range(50).selectExpr("string(id) AS id", "'a b' AS name", "double(id) AS score")
+    assert "TakeOrderedAndProject" in plan_of(ranking.limit_entities(rows, 40)) or "GlobalLimit" in plan_of(ranking.limit_entities(rows, 40))
+    assert [r.id for r in ranking.limit_entities(rows, 22).orderBy("score").collect()] == ["47", "48", "49"]
+    chunks = spark.createDataFrame([("a", "", 0, 9.0), ("b", "x y", 2, 8.0), ("c", "", 0, 7.0), ("d", "p q r", 0, 6.0), ("e", "", 0, 5.0), ("f", "z", 1, 4.0)], "id string, text string, token_count int, score double")
+    for tokens, held in ((2, "abc"), (4, "abc"), (5, "abcde"), (6, "abcdef"), (1, "a"), (0, "")):
+        assert sorted(r.id for r in ranking.limit_chunks(chunks, tokens).collect()) == list(held), tokens
 
 
 def test_dimension_mismatch_is_an_error(spark):
@@ -111,9 +153,15 @@ def test_bad_filters(bad):
 
 
 def test_pushed_filters_reach_the_scan(spark, tmp_path):
-    spark.createDataFrame([("a", "x")], "id string, lang string").write.parquet(str(tmp_path / "t"))
-    rows = spark.read.parquet(str(tmp_path / "t")).where(to_column(build_plan({"lang": "x"}), F.create_map().cast("map<string,string>"), {"lang": F.col("lang")}))
-    assert rows.count() == 1
+    spark.createDataFrame([("a", "x", 5, 1.5), ("b", " x", 7, 2.5), ("c", None, 9, 3.5)], "id string, lang string, n int, price double").write.parquet(str(tmp_path / "t"))
+    t, none = spark.read.parquet(str(tmp_path / "t")), F.create_map().cast("map<string,string>")
+    columns = {"lang": F.col("lang"), "n": F.col("n"), "price": F.col("price")}
+    plan = build_plan({"lang": ["x", "y"]}, [Condition("n", "GTE", 5), Condition("price", "LT", "2")])
+    rows = t.where(to_column(plan, none, columns, native=True))
+    assert [r.id for r in rows.collect()] == ["a"]
+    pushed = rows._jdf.queryExecution().executedPlan().toString().split("PushedFilters:")[-1].split("ReadSchema")[0]
+    assert "In(lang, [x,y])" in pushed and "GreaterThanOrEqual(n,5" in pushed and "LessThan(price,2.0)" in pushed
+    assert sorted(r.id for r in t.where(to_column(build_plan({"lang": "x"}), none, columns)).collect()) == ["a", "b"]  # without native, texts are stripped
 
 
 def _graph(spark, rows):
@@ -194,7 +242,11 @@ def test_chunk_texts():
     topic = lambda s: [[1, 0] if "Cat" in t or "Kit" in t else [0, 1] for t in s]
     assert texts.semantic("Cats sleep. Kittens play. Revenue rises. Profit grows.", 200, topic, "percentile", 50, 0) == ["Cats sleep. Kittens play.", "Revenue rises. Profit grows."]
     assert texts.semantic("abcdefghijkl", 4, lambda s: [[1, 0]] * len(s)) == ["abcd", "efgh", "ijkl"]
-    assert texts.by_rules("A1\nx\nA2\ny", [r"^A\d"]) == (["A1\nx", "A2\ny"], False) and texts.by_rules("no", ["^A"])[1]
+    assert texts.by_rules("A1\nx\nA2\ny", [r"^A\d"]) == (["A1\nx", "A2\ny"], None)
+    assert texts.by_rules("intro\n# One heading\nbody", ["^#"]) == (["intro", "# One heading\nbody"], None)  # one match is enough
+    assert texts.by_rules("# a " + "x" * 40 + "\n# b", ["^#"], 10, 0) == (["# a " + "x" * 40, "# b"], None)  # parts stay whole
+    assert texts.by_rules("none at all", ["^#"], 6, 0) == (["none a", "t all"], texts.NO_BOUNDARIES) and texts.by_rules("x", []) == (["x"], texts.NO_RULES)
+    assert texts.by_rules("# only at the start", ["^#"]) == (["# only at the start"], texts.NO_BOUNDARIES) and texts.by_rules("", ["^#"]) == ([], None)
 
 
 def test_fixed_windows_in_sql_and_python(spark):
@@ -254,7 +306,7 @@ def test_parents_sum_and_captions(spark):
 
 def test_delete_document_cascades(people):
     left = graph.delete_document(people.chunks, people.entities, people.relations, people.vectors, "doc-2")
-    assert sorted(r.id for r in left["entities"].collect()) == ["alice", "bob"] and [r.id for r in left["relations"].collect()] == ["rel-1"]
+    assert sorted(r.id for r in left["entities"].collect()) == ["ida", "tom"] and [r.id for r in left["relations"].collect()] == ["rel-1"]
 
 
 def test_text_functions(spark):
@@ -272,7 +324,7 @@ def test_keywords_and_engine(people):
     asked = resolve_keywords(QueryRequest("long question here", "HYBRID"), lambda p: '{"high_level_keywords": ["H"], "low_level_keywords": []}')
     assert list(asked.hl_keywords) == list(asked.ll_keywords) == ["H"]
     engine = Engine(people, lambda t: [[1.0, 0.0]] * len(t), lambda q, s="", h=(): "answer", reranker=lambda q, c: [(i, 1.0) for i, _ in reversed(c)])
-    got = engine.query(QueryRequest("who is alice", "LOCAL", top_k=1, chunk_top_k=2, include_references=True))
+    got = engine.query(QueryRequest("who is ida", "LOCAL", top_k=1, chunk_top_k=2, include_references=True))
     assert got.answer == "answer" and [c["source_id"] for c in got.contexts] == ["chunk-3", "chunk-2"]
     assert got.references == [{"reference_id": "1", "source": "doc-2"}, {"reference_id": "2", "source": "doc-1"}]  # twice as many were reranked
     assert engine.query(QueryRequest("x", "NAIVE", only_context=True)).answer.startswith("Entities:\n(none)")
@@ -325,13 +377,13 @@ def test_resuming(spark):
 def test_multi_hop_answers(people):
     from corvane.plans.engine import events_of
 
-    vectors = {"what does alice reach through bob": [1.0, 0.0]}
+    vectors = {"what does ida reach through tom": [1.0, 0.0]}
     engine = Engine(people, lambda t: [vectors.get(x, [1.0, 0.0]) for x in t], lambda q, s="", h=(): "draft" if "steps of reasoning" in s else "final")
-    request = QueryRequest("what does alice reach through bob", ll_keywords=["alice"], hl_keywords=["works"], include_references=True)
+    request = QueryRequest("what does ida reach through tom", ll_keywords=["ida"], hl_keywords=["maps"], include_references=True)
     got = engine.query(request)
     assert got.answer == "final" and {c["source_id"] for c in got.contexts} >= {"chunk-1", "chunk-3"}
     text = engine.query(retrieve.replace(request, only_context=True)).answer
-    assert text.startswith("Reasoning Path 1") and "Hop 1: Alice -> Bob | keywords: works_with" in text and "Evidence [chunk-1]" in text
+    assert text.startswith("Reasoning Path 1") and "Hop 1: Ida -> Tom | keywords: maps_with" in text and "Evidence [chunk-1]" in text
     assert [e["event"] for e in events_of(got, "q")][0] == "meta" and [e["event"] for e in events_of(got, "q")][-1] == "complete"
 
 
@@ -342,3 +394,40 @@ def test_sparse_search_prefers_rare_words(spark):
     assert sorted(r.id for r in ranked.collect()) == [1, 3]
     fused = search.fuse_ranks([ranked.select("key", "id", "rank")] * 2, 1).first()
     assert abs(fused.score - 2 / 61) < 1e-12
+
+
+def test_tables_in_parts():
+    """Parts of any kind of table repeat its header and lose no row."""
+    rows = [f"row {i} " + "x" * 9 for i in range(9)]
+    markdown = "| a |\n|---|\n" + "\n".join(f"| {r} |" for r in rows)
+    html = "<table class='t'>\n<tr><th>a</th></tr>" + "".join(f"<tr><td>{r}</td></tr>" for r in rows) + "</table>"
+    lists, objects = json.dumps([["a"], *([r] for r in rows)]), json.dumps([{"a": r} for r in rows])
+    for text, size, head in ((markdown, 70, "| a |\n|---|"), (html, 110, "<table class='t'><tr><th>a</th></tr>"), (lists, 60, '[["a"]'), (objects, 60, "[{")):
+        parts = texts.table_parts(text, size)
+        assert len(parts) > 2 and all(len(p) <= size and p.startswith(head) for p in parts)
+        assert [r for p in parts for r in rows if r in p] == rows
+    assert json.loads(texts.table_parts(lists, 60)[-1])[0] == ["a"] and texts.table_parts(html, 40) == [html]
+    assert texts.table_parts("[no json", 5) == ["[no json"] and texts.table_parts("plain", 2) == ["plain"]
+    blocks = [texts.Block("b0", "PARAGRAPH", "s", "Before."), texts.Block("b1", "TABLE", "s", html)]
+    roles = [d.metadata.get("table_role") for d in texts.paragraphs(blocks, 110, 0, 0)]
+    assert roles[:2] == [None, "first"] and roles[-1] == "last" and set(roles[2:-1]) == {"middle"}
+
+
+def test_text_hash(spark):
+    from corvane.functions.hashing import text_hash
+
+    said = ["", "a", "order 7", "äß", "\U0001f600x", None]
+    rows = spark.createDataFrame([(s,) for s in said], "t string").select("t", text_hash("t").alias("h")).collect()
+    assert {r.t: r.h for r in rows} == {s: format(string_hash(s or "") & 0xFFFFFFFF, "x") for s in said}
+
+
+def test_parents_and_captions_are_fetched_by_id(spark, tmp_path):
+    """Only chunks that are asked for meet the matched ones: the chunk table is not shuffled for a few rows."""
+    rows = [("p", "d", "parent text", 2, 0, {}), ("c1", "d", "one", 1, 1, {ranking.PARENT: "p"}), ("c2", "d", "two", 1, 2, {ranking.PARENT: "p"}), ("c3", "d", "lost", 1, 3, {ranking.PARENT: "gone"})]
+    spark.createDataFrame(rows, CHUNK).write.parquet(str(tmp_path / "c"))
+    chunks = spark.read.parquet(str(tmp_path / "c"))
+    matched = chunks.where("id <> 'p'").withColumn("score", F.col("chunk_order").cast("double"))
+    got = [(r.id, r.text, r.score) for r in ranking.expand_parents(matched, chunks, 5).orderBy("id").collect()]
+    assert got == [("c3", "lost", 3.0), ("p", "parent text", 3.0)]
+    few = matched.orderBy(F.desc("score"), "id").limit(2)
+    assert sorted(r.id for r in ranking.expand_parents(few, chunks, 5).collect()) == ["c3", "p"]
