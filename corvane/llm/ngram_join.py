@@ -32,7 +32,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import n_tasks, shared_dir, written
@@ -703,6 +703,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     marks = written(rows.where(~last | (F.col("n") > 1)).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), last.alias("__kept")), "repeats")
     keyed = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
     same = (F.col("__doc") == F.col("__id")) & (F.col("__text") == F.col("__h"))
-    single = keyed.join(marks.hint("shuffle_hash"), same, "left_anti")
-    once = keyed.join(marks.where("__kept").hint("shuffle_hash"), same, "left_semi").dropDuplicates(["__doc", "__text"])
-    return single.unionByName(once).select(*docs.columns)
+    # texts are shuffled once: the window goes by the join's keys
+    marked = keyed.join(marks.hint("shuffle_hash"), same, "left")
+    turn = F.row_number().over(Window.partitionBy("__doc", "__text").orderBy("__doc"))
+    return marked.withColumn("__turn", turn).where(F.col("__kept").isNull() | (F.col("__kept") & (F.col("__turn") == 1))).select(*docs.columns)
