@@ -148,7 +148,8 @@ def expand_parents(matched: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Matched chunks (all of a chunk's columns and score), children replaced by their parents.
 
     A parent's score is the sum of its children's; a child whose parent is not stored stays;
-    captions take in the text around them.  The best k stay.
+    captions take in the text around them.  The best k stay; these k rows are persisted, as each
+    join of expand_captions would otherwise run the whole search again.
     """
     above = F.when(~blank(meta(PARENT)), meta(PARENT))
     # only parents that are asked for are joined; where those are few, the chunks stay where they are
@@ -161,7 +162,7 @@ def expand_parents(matched: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     packed = resolved.withColumn("__row", F.struct(*rest)).withColumn("__meta", F.map_entries("metadata"))
     summed = packed.groupBy("id").agg(F.sum("score").alias("score"), F.max_by(F.struct("__row", "__meta"), "score").alias("__r"))
     back = summed.select("id", *[F.col(f"__r.__row.{c}").alias(c) for c in rest], F.map_from_entries("__r.__meta").alias("metadata"), "score")
-    best = back.orderBy(F.desc("score"), "id").limit(k)
+    best = back.orderBy(F.desc("score"), "id").limit(k).persist()
     return expand_captions(best, chunks)
 
 
