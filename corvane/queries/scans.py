@@ -163,8 +163,9 @@ SELECT doc_id, count(*) AS n_terms, round(max(1 + ln(n)), 6) AS heaviest, round(
 @register(QUERIES, SQL, V6)
 def v6_sparse_terms(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    t = search.sparse_vectors(d, text="text")
-    return t.groupBy(F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("heaviest"), F.round(F.min("weight"), 6).alias("lightest"), F.round(F.sum("weight"), 4).alias("weight"))
+    t = search.sparse_vectors(d, text="text").where("size(terms) > 0")
+    total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x)
+    return t.select(F.col("id").alias("doc_id"), F.size("terms").cast("long").alias("n_terms"), F.round(F.array_max("weights"), 6).alias("heaviest"), F.round(F.array_min("weights"), 6).alias("lightest"), F.round(total, 4).alias("weight"))
 
 
 def _sparse_and_dense(spark, sf_dir):

@@ -431,3 +431,32 @@ def test_parents_and_captions_are_fetched_by_id(spark, tmp_path):
     assert got == [("c3", "lost", 3.0), ("p", "parent text", 3.0)]
     few = matched.orderBy(F.desc("score"), "id").limit(2)
     assert sorted(r.id for r in ranking.expand_parents(few, chunks, 5).collect()) == ["c3", "p"]
+
+
+def test_terms_of_equal_ids_are_apart(spark):
+    """Two words of the same 31-bit id are two terms."""
+    from corvane.functions.hashing import fnv1a
+
+    seen, i = {}, 0
+    while (other := seen.setdefault(fnv1a(f"w{i}"), f"w{i}")) == f"w{i}":
+        i += 1
+    v = search.sparse_vectors(spark.createDataFrame([(1, f"w{i} {other}"), (2, other)], "id int, text string"), text="text")
+    assert sorted(v.where("id = 1").first().terms) == sorted([f"w{i}", other]) and v.where("id = 1").first().weights == [1.0, 1.0]
+    asked = search.sparse_vectors(spark.createDataFrame([(9, f"w{i}")], "id int, text string"), text="text")
+    assert [r.id for r in search.sparse_search(v, asked, 5).collect()] == [1]
+
+
+def test_searches_shuffle_no_documents(spark):
+    """Tasks send k rows for each query; equal scores go to smaller ids, and vectors of another length come last."""
+    docs = spark.createDataFrame([(i, "red fox" if i % 2 else "red") for i in range(400)], "id int, text string").repartition(4)
+    asked = spark.createDataFrame([(q, "fox") for q in range(3)], "id int, text string")
+    found = search.sparse_search(search.sparse_vectors(docs, text="text"), search.sparse_vectors(asked, text="text"), 2)
+    assert sorted((r.key, r["rank"], r.id) for r in found.collect()) == [(q, n, i) for q in range(3) for n, i in ((1, 1), (2, 3))]
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(20)] + [(20, [1.0])], "id int, vector array<double>").repartition(4)
+    near = search.dense_search(vectors, vectors.where("id < 3"), 3)
+    assert [(r.id, round(r.score, 6)) for r in near.where("key = 1").orderBy("rank").collect()] == [(1, 1.0), (3, 1.0), (5, 1.0)]
+    last = search.dense_search(vectors, vectors.where("id = 0"), 30).where("rank = 21").first()
+    assert (last.id, last.score) == (20, None)
+    for rows in (found, near):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "Join" not in plan
