@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_keywords, keyword_parts, merged_csv, merged_lists, normal_key, relation_id, split_values
 
 MAX_ENDPOINT = 256
+#: Chunks that are taken off by a filter; more are joined.
+LITERALS = 10_000
 
 
 def canonical_edges(edges: DataFrame, src: str = "src_id", tgt: str = "tgt_id") -> DataFrame:
@@ -357,8 +359,13 @@ def delete_relation(relations: DataFrame, vectors: DataFrame, a: str, b: str) ->
 def without_chunks(entities: DataFrame, relations: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities and relations that lose some chunks (one column, id), and go when none are left or an end is gone."""
     lost = chunks.select(F.col("id").alias("c"))
+    some = [r.c for r in lost.where("c IS NOT NULL").limit(LITERALS + 1).collect()]
 
     def without(rows: DataFrame) -> DataFrame:
+        if len(some) <= LITERALS:  # rows stay where they are
+            left = F.filter("source_chunk_ids", lambda c: ~F.coalesce(c.isin(some), F.lit(False)))
+            kept = rows.where(F.col("source_chunk_ids").isNull() | (F.size("source_chunk_ids") == 0) | (F.size(left) > 0))
+            return kept.withColumn("source_chunk_ids", left).select(*rows.columns)
         hit = rows.select("id", F.posexplode("source_chunk_ids").alias("pos", "c")).join(lost, "c", "left_semi").select("id").distinct()
         # only rows that hold one of the chunks are taken apart
         touched = rows.join(hit, "id", "left_semi").select("id", F.posexplode("source_chunk_ids").alias("pos", "c")).join(lost, "c", "left_anti")

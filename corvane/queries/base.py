@@ -50,28 +50,33 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and chunk_id of what orders mention."""
-    line = table(spark, sf_dir, "lineitem")
-    pairs = line.select(F.explode(F.array(_key("part", "l_partkey"), _key("supplier", "l_suppkey"))).alias("id"), F.col("l_orderkey").cast("string").alias("chunk_id"))
-    own = table(spark, sf_dir, "orders").select(_key("customer", "o_custkey").alias("id"), F.col("o_orderkey").cast("string").alias("chunk_id"))
-    return pairs.unionByName(own).distinct()
+    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    # a branch for each kind, not an explode: a filter by id reaches the scans
+    of = lambda rows, kind, key, order: rows.select(_key(kind, key).alias("id"), F.col(order).cast("string").alias("chunk_id"))
+    return of(line, "part", "l_partkey", "l_orderkey").unionByName(of(line, "supplier", "l_suppkey", "l_orderkey")).unionByName(of(orders, "customer", "o_custkey", "o_orderkey")).distinct()
 
 
-def bare_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities without their chunks."""
-
-    def of(name: str, kind: str, key: str, label: str, about) -> DataFrame:
-        return table(spark, sf_dir, name).select(_key(kind, key).alias("id"), F.col(label).alias("name"), F.lit(kind).alias("type"), about.alias("description"))
-
+def bare_entities(spark: SparkSession, sf_dir: str, kinds=("region", "nation", "customer", "supplier", "part"), *more: str) -> DataFrame:
+    """Entities without their chunks, and more columns of their tables."""
     none = F.lit("")
-    rows = of("region", "region", "r_regionkey", "r_name", none)
-    for x in (("nation", "nation", "n_nationkey", "n_name", none), ("customer", "customer", "c_custkey", "c_name", F.col("c_mktsegment")), ("supplier", "supplier", "s_suppkey", "s_name", none), ("part", "part", "p_partkey", "p_name", F.concat_ws(" ", "p_brand", "p_type"))):
-        rows = rows.unionByName(of(*x))
+    about = {"region": ("r_regionkey", "r_name", none), "nation": ("n_nationkey", "n_name", none), "customer": ("c_custkey", "c_name", F.col("c_mktsegment")), "supplier": ("s_suppkey", "s_name", none), "part": ("p_partkey", "p_name", F.concat_ws(" ", "p_brand", "p_type"))}
+    rows = None
+    for kind in kinds:
+        key, label, text = about[kind]
+        e = table(spark, sf_dir, kind).select(_key(kind, key).alias("id"), F.col(label).alias("name"), F.lit(kind).alias("type"), text.alias("description"), *more)
+        rows = e if rows is None else rows.unionByName(e)
     return rows.withColumn("aliases", F.array().cast("array<string>"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = entity_chunks(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list("chunk_id")).alias("c"))
-    return bare_entities(spark, sf_dir).join(own, "id", "left").select("id", "name", "type", "description", "aliases", F.coalesce("c", F.array().cast("array<string>")).alias("source_chunk_ids"))
+    """Entities with their chunks.  Orders are gathered by number and joined by number, kind by kind: one shuffle, and filters by id reach the scans."""
+    none = F.array().cast("array<string>")
+    rows = bare_entities(spark, sf_dir, ("region", "nation")).withColumn("source_chunk_ids", none)
+    for kind, key, name, own, order in (("customer", "c_custkey", "orders", "o_custkey", "o_orderkey"), ("supplier", "s_suppkey", "lineitem", "l_suppkey", "l_orderkey"), ("part", "p_partkey", "lineitem", "l_partkey", "l_orderkey")):
+        held = table(spark, sf_dir, name).groupBy(own).agg(F.collect_set(order).alias("c"))
+        e = bare_entities(spark, sf_dir, (kind,), key).join(held, F.col(key) == F.col(own), "left")
+        rows = rows.unionByName(e.select("id", "name", "type", "description", "aliases", F.coalesce(F.array_sort(F.col("c").cast("array<string>")), none).alias("source_chunk_ids")))
+    return rows
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,19 +104,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_chunks.unionByName(of_parts).unionByName(of_ends)
 
 
-#: The graph of the latest workspace.
-_HELD: list[DataFrame] = []
-
-
 def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """The tables of a stored workspace, here made from the star schema.
-
-    The graph is made once for all that a query asks of it, and released when the next query makes its own.
-    """
-    while _HELD:
-        _HELD.pop().unpersist()
-    _HELD.extend((entities(spark, sf_dir).persist(), relations(spark, sf_dir).persist()))
-    return Workspace(chunks(spark, sf_dir), *_HELD, vectors(spark, sf_dir))
+    """The tables of a stored workspace, here made from the star schema where they are read: filters by id reach its scans."""
+    return Workspace(chunks(spark, sf_dir), entities(spark, sf_dir), relations(spark, sf_dir), vectors(spark, sf_dir))
 
 
 def asked_vector(spark: SparkSession, sf_dir: str, vec_id: int = ASKED) -> list[float]:

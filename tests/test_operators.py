@@ -460,3 +460,21 @@ def test_searches_shuffle_no_documents(spark):
     for rows in (found, near):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "Join" not in plan
+
+
+def test_few_chunks_are_taken_off_where_rows_are(spark):
+    """Rows are filtered, not taken apart and joined; nulls and empty lists stay, and more chunks than fit into a filter give the same."""
+    rows = [("a", ["1", "2"]), ("b", ["1"]), ("c", []), ("d", None), ("e", ["3", "1", "4"])]
+    e = spark.createDataFrame(rows, "id string, source_chunk_ids array<string>")
+    r = spark.createDataFrame([("r", "a", "e", ["1", "9"]), ("s", "a", "b", ["9"])], "id string, src_id string, tgt_id string, source_chunk_ids array<string>")
+    lost = spark.createDataFrame([("1",), (None,)], "id string")
+    nodes, edges = graph.without_chunks(e, r, lost)
+    assert "Join" not in nodes._jdf.queryExecution().optimizedPlan().toString()
+    want = {"a": ["2"], "c": [], "d": None, "e": ["3", "4"]}, {"r": ["9"]}
+    assert ({x.id: x.source_chunk_ids for x in nodes.collect()}, {x.id: x.source_chunk_ids for x in edges.collect()}) == want
+    most, graph.LITERALS = graph.LITERALS, 0
+    try:
+        nodes, edges = graph.without_chunks(e, r, lost)
+        assert ({x.id: x.source_chunk_ids for x in nodes.collect()}, {x.id: x.source_chunk_ids for x in edges.collect()}) == want
+    finally:
+        graph.LITERALS = most
