@@ -11,6 +11,8 @@ from ..functions.text import blank, first_non_blank, fixed3, token_count
 from ..schemas import PARENT
 
 BUFFER_TOKENS = 16
+#: Ids that go into a filter, and rows that are broadcast, once counted; more are joined.
+LITERALS, FEW = 10_000, 1_000_000
 #: Metadata of chunks that belong to others.
 PREVIOUS, NEXT = "smart_chunker.prev_chunk_id", "smart_chunker.next_chunk_id"
 CONTENT, SECTION, IMAGE = "smart_chunker.content_type", "smart_chunker.section_path", "smart_chunker.primary_image_path"
@@ -29,6 +31,23 @@ def load_by_ids(ids: DataFrame, table: DataFrame, id_col: str = "id") -> DataFra
     return ids.join(table, id_col)
 
 
+def few(rows: DataFrame) -> DataFrame:
+    """Rows that are broadcast if they are few, so that what they are joined with stays where it is."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
+def with_ids(table: DataFrame, scores: dict, id_col: str = "id") -> DataFrame:
+    """Rows of the table with these ids, scored: as load_by_ids, for ids that are bounded.  The filter reaches the table's scan."""
+    found = table.sparkSession.createDataFrame(list(scores.items()), f"{id_col} string, score double")
+    own = table.where(F.col(id_col).isin(list(scores))) if len(scores) <= LITERALS else table
+    return F.broadcast(found).join(own, id_col)
+
+
+def best_ids(scores: DataFrame, tokens: int, least: int) -> dict:
+    """id and score of the best rows, no more than a budget can hold where each costs `least`: these come to the driver."""
+    return {r.id: r.score for r in scores.select("id", "score").orderBy(F.desc("score"), "id").limit(max(0, tokens) // least).collect()}
+
+
 def pick_best(branches: Sequence[DataFrame], id_col: str = "id") -> DataFrame:
     """Rows of all branches, of each id the one with the best score; the earlier branch on ties."""
     tagged = [b.withColumn("__branch", F.lit(i)) for i, b in enumerate(branches)]
@@ -54,7 +73,7 @@ def retain_chunks(chunks: DataFrame, sources: Sequence[DataFrame]) -> DataFrame:
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return chunks.join(both.distinct(), "id", "left_semi")
+    return chunks.join(few(both.distinct()), "id", "left_semi")
 
 
 # --- formats and budgets ----------------------------------------------------------------------------
@@ -88,12 +107,16 @@ def within_budget(rows: DataFrame, cost: Column, tokens: int, by: Sequence[str]
     return _running(rows, cost, by).where(F.col("__spent") <= tokens).drop("__spent")
 
 
+#: What a line costs at least: of an entity two marks, an id and a score, of a relation four marks and two ids.
+ENTITY_LEAST, RELATION_LEAST = 4, 6
+
+
 def limit_entities(rows: DataFrame, tokens: int) -> DataFrame:
-    return within_budget(rows, token_count(entity_line()), tokens, least=4)  # two marks, an id, a score
+    return within_budget(rows, token_count(entity_line()), tokens, least=ENTITY_LEAST)
 
 
 def limit_relations(rows: DataFrame, tokens: int) -> DataFrame:
-    return within_budget(rows, token_count(relation_line()), tokens, least=6)  # four marks, two ids
+    return within_budget(rows, token_count(relation_line()), tokens, least=RELATION_LEAST)
 
 
 def chunk_cost() -> Column:
@@ -154,8 +177,11 @@ def expand_parents(matched: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     above = F.when(~blank(meta(PARENT)), meta(PARENT))
     # only parents that are asked for are joined; where those are few, the chunks stay where they are
     asked = matched.select(above.alias("p_id")).where("p_id IS NOT NULL").distinct()
-    parents = chunks.select(*[F.col(c).alias(f"p_{c}") for c in chunks.columns]).join(asked, "p_id", "left_semi")
-    up = matched.join(parents, above == F.col("p_id"), "left")
+    if asked.isEmpty():
+        up = matched.select("*", *[F.lit(None).cast(f.dataType).alias(f"p_{f.name}") for f in chunks.schema])
+    else:
+        parents = chunks.select(*[F.col(c).alias(f"p_{c}") for c in chunks.columns]).join(few(asked), "p_id", "left_semi")
+        up = matched.join(parents, above == F.col("p_id"), "left")
     own = [F.coalesce(f"p_{c}", c).alias(c) if c != "metadata" else F.when(F.col("p_id").isNotNull(), F.col("p_metadata")).otherwise(F.col("metadata")).alias(c) for c in chunks.columns]
     resolved = up.select(*own, "score")
     rest = [c for c in chunks.columns if c not in ("id", "metadata")]
@@ -174,8 +200,10 @@ def expand_captions(matched: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     captions = matched.where(meta(CONTENT) == "caption")
     asked = captions.select(F.explode(F.array(meta(PREVIOUS), meta(NEXT))).alias("n_id")).where("n_id IS NOT NULL").distinct()
-    around = near.join(asked, "n_id", "left_semi")
-    beyond = near.join(around.select(F.col("n_prev").alias("n_id")).where("n_id IS NOT NULL").distinct(), "n_id", "left_semi")
+    if asked.isEmpty():
+        return matched
+    around = near.join(few(asked), "n_id", "left_semi")
+    beyond = near.join(few(around.select(F.col("n_prev").alias("n_id")).where("n_id IS NOT NULL").distinct()), "n_id", "left_semi")
     part = lambda p: F.struct(F.col(f"{p}.n_text").alias("text"), F.col(f"{p}.n_tokens").alias("tokens"))
     at = lambda p, key: (F.col(f"{p}.n_id") == key) & F.col(f"{p}.n_section").eqNullSafe(meta(SECTION, F.col("m.metadata")))
     m = matched.alias("m")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_match
+from ..operators.ranking import LITERALS, few
 from .retrieve import Context, QueryRequest, Workspace, mix
 
 PER_HOP = 5
@@ -39,7 +40,10 @@ def expand(relations: DataFrame, seeds: DataFrame, max_hop: int = 2, per_hop: in
     found = None
     for _ in range(max_hop):
         last = F.try_element_at("entity_ids", F.lit(-1))
-        p, s = now.withColumn("here", last).alias("p"), steps.alias("s")
+        # paths are few: their ends filter the relations, in the scan where it can
+        now = now.persist()
+        here = [r.here for r in now.select(last.alias("here")).distinct().limit(LITERALS + 1).collect()]
+        p, s = now.withColumn("here", last).alias("p"), (steps.where(F.col("here").isin(here)) if len(here) <= LITERALS else steps).alias("s")
         near = p.join(s, F.col("p.here") == F.col("s.here")).where(~F.array_contains("entity_ids", F.col("s.there")))
         rank = F.row_number().over(Window.partitionBy("order").orderBy("s.id"))
         capped = near.withColumn("n", rank).where(F.col("n") <= per_hop)
@@ -81,15 +85,17 @@ def supporting_chunks(paths: DataFrame, relations: DataFrame, chunks: DataFrame,
     """Chunks for ranked paths, score 1: the first stored chunk of each edge, then all of each path, then the fallback."""
     have = chunks.select(F.col("id").alias("chunk_id"))
     edges = paths.select("rank", F.posexplode("ends").alias("edge", "e")).select("rank", "edge", F.col("e.src_id").alias("src_id"), F.col("e.tgt_id").alias("tgt_id"))
-    of = edges.join(relations.select("src_id", "tgt_id", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")), ["src_id", "tgt_id"]).join(have, "chunk_id")
+    asked = [r.src_id for r in edges.select("src_id").distinct().limit(LITERALS + 1).collect()]
+    named = (relations.where(F.col("src_id").isin(asked)) if len(asked) <= LITERALS else relations).join(few(edges.select("src_id", "tgt_id").distinct()), ["src_id", "tgt_id"], "left_semi")
+    of = few(edges.join(named.select("src_id", "tgt_id", F.posexplode("source_chunk_ids").alias("pos", "chunk_id")), ["src_id", "tgt_id"])).join(have, "chunk_id")
     n = F.row_number().over(Window.partitionBy("rank", "edge").orderBy("pos"))
     key = lambda tier, a, b, c: F.struct(F.lit(tier).alias("tier"), a.cast("int").alias("a"), b.cast("int").alias("b"), c.cast("int").alias("c"))
     first = of.withColumn("n", n).where("n = 1").select("chunk_id", key(0, F.col("rank"), F.col("edge"), F.lit(0)).alias("key"))
-    every = paths.select("rank", F.posexplode("chunk_ids").alias("pos", "chunk_id")).join(have, "chunk_id").select("chunk_id", key(1, F.col("rank"), F.lit(0), F.col("pos")).alias("key"))
+    every = few(paths.select("rank", F.posexplode("chunk_ids").alias("pos", "chunk_id"))).join(have, "chunk_id").select("chunk_id", key(1, F.col("rank"), F.lit(0), F.col("pos")).alias("key"))
     rest = fallback.select(F.col("id").alias("chunk_id"), key(2, F.row_number().over(Window.orderBy(F.desc("score"), "id")), F.lit(0), F.lit(0)).alias("key"))
     keyed = first.unionByName(every).unionByName(rest).groupBy("chunk_id").agg(F.min("key").alias("key"))
     placed = keyed.withColumn("position", F.row_number().over(Window.orderBy("key")))
-    return placed.select(F.col("chunk_id").alias("id"), "position", F.lit(1.0).alias("score")).join(chunks, "id")
+    return few(placed.select(F.col("chunk_id").alias("id"), "position", F.lit(1.0).alias("score"))).join(chunks, "id")
 
 
 def multi_hop(ws: Workspace, request: QueryRequest, vector) -> tuple[Context, DataFrame | None]:

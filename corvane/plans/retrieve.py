@@ -1,8 +1,8 @@
 """Query modes as DataFrame plans over a workspace's tables.
 
-The engine keeps one lazily built plan for each result table.  Only the seeds of LOCAL, at most
-top_k rows, and the relations among them come to the driver, as their scores depend on each other
-in rank order.
+Ids and scores that are bounded come to the driver: seeds (at most top_k), what searches find, the relations
+among seeds, and the entities and relations that a budget can hold.  From there they are filters
+by id, which reach the scans, so that tables are neither shuffled nor kept.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking
 from ..operators.filters import Condition, FilterPlan, build_plan, filter_rows
-from ..operators.graph import both_ways
 from ..operators.search import SearchSpec, batch_search, merge_keywords, search
 
 MODES = ("NAIVE", "LOCAL", "GLOBAL", "HYBRID", "MIX", "BYPASS")
@@ -90,6 +89,42 @@ def _search(ws: Workspace, namespace: str, vector: Sequence[float], text: str, k
     return search(ws.vectors, spec)
 
 
+def _found(rows: DataFrame) -> dict[str, float]:
+    """A search's at most k rows."""
+    return {r.id: r.score for r in rows.collect()}
+
+
+def _entities(ws: Workspace, scores: DataFrame, tokens: int) -> DataFrame:
+    """The best of the stored entities with scores (id, score), within the budget."""
+    held = ranking.load_by_ids(scores, ws.entities.select("id"))
+    return ranking.limit_entities(ranking.with_ids(ws.entities, ranking.best_ids(held, tokens, ranking.ENTITY_LEAST)), tokens).persist()
+
+
+def _relations(rows: DataFrame, tokens: int) -> DataFrame:
+    """The best of scored relations, within the budget."""
+    return ranking.limit_relations(rows, tokens).persist()
+
+
+def _chunks(ws: Workspace, sources: Sequence[DataFrame]) -> DataFrame:
+    """The chunks that scored rows come from."""
+    return ranking.load_by_ids(ranking.few(ranking.chunk_scores(sources)), ws.chunks)
+
+
+def _near(ws: Workspace, seeds: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(entities as id and score, relations with score) that are reached from seeds within a step, the seeds included."""
+    start = ws.spark.createDataFrame(list(seeds.items()), "n string, s double")
+    ends = ws.relations
+    if len(seeds) <= ranking.LITERALS:
+        ends = ends.where(F.col("src_id").isin(list(seeds)) | F.col("tgt_id").isin(list(seeds)))
+    for end, score in (("src_id", "__src"), ("tgt_id", "__tgt")):
+        ends = ends.join(F.broadcast(start.select(F.col("n").alias(end), F.col("s").alias(score))), end, "left")
+    near = ends.where("__src IS NOT NULL OR __tgt IS NOT NULL")
+    relations = near.select(*ws.relations.columns, F.greatest("__src", "__tgt").alias("score"))
+    to = lambda end, score: near.select(F.col(end).alias("id"), F.col(score).alias("score")).where("score IS NOT NULL")
+    entities = to("tgt_id", "__src").unionByName(to("src_id", "__tgt")).unionByName(start.select(F.col("n").alias("id"), F.col("s").alias("score")))
+    return ranking.best_scores(entities), relations
+
+
 def _filtered(ws: Workspace, chunks: DataFrame, plan: FilterPlan, k: int) -> DataFrame:
     """Filter, the best k with parents for children, filter again."""
     kept = filter_rows(chunks, plan)
@@ -99,8 +134,8 @@ def _filtered(ws: Workspace, chunks: DataFrame, plan: FilterPlan, k: int) -> Dat
 
 def naive(ws: Workspace, request: QueryRequest, vector: Sequence[float]) -> DataFrame:
     """The chunks nearest to the query; filters apply to the k found, as they come."""
-    found = _search(ws, "chunks", vector, request.query, (), request.chunk_top_k)
-    return _filtered(ws, ranking.load_by_ids(found, ws.chunks), request.plan(), request.chunk_top_k)
+    found = _found(_search(ws, "chunks", vector, request.query, (), request.chunk_top_k))
+    return _filtered(ws, ranking.with_ids(ws.chunks, found), request.plan(), request.chunk_top_k)
 
 
 def seed_scores(seeds: Sequence[tuple[str, float]], pairs: set[tuple[str, str]]) -> dict[str, float]:
@@ -113,38 +148,29 @@ def seed_scores(seeds: Sequence[tuple[str, float]], pairs: set[tuple[str, str]])
 
 
 def local_scores(ws: Workspace, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relations) as id and score, reached from the seeds (id, score) within a step."""
-    spark = ws.spark
+    """(entities as id and score, relations with score), reached from the seeds (id, score) within a step."""
     ranked = [(r.id, r.score) for r in seeds.orderBy(F.desc("score"), "id").collect()]
-    names = spark.createDataFrame([(n,) for n, _ in ranked], "n string")
-    inner = ws.relations.select("src_id", "tgt_id").join(names.select(F.col("n").alias("src_id")), "src_id", "left_semi").join(names.select(F.col("n").alias("tgt_id")), "tgt_id", "left_semi")
-    effective = seed_scores(ranked, {(min(r.src_id, r.tgt_id), max(r.src_id, r.tgt_id)) for r in inner.collect()})
-    start = spark.createDataFrame(list(effective.items()), "entity_id string, score double")
-    reached = both_ways(ws.relations).join(F.broadcast(start), "entity_id")  # at most top_k rows
-    relations = reached.groupBy(F.col("relation_id").alias("id")).agg(F.max("score").alias("score"))
-    entities = reached.select(F.col("neighbour_id").alias("id"), "score").unionByName(start.select(F.col("entity_id").alias("id"), "score"))
-    return ranking.best_scores(entities), relations
+    names = [n for n, _ in ranked]
+    inner = ws.relations.where(F.col("src_id").isin(names) & F.col("tgt_id").isin(names)).select("src_id", "tgt_id")
+    return _near(ws, seed_scores(ranked, {(min(r.src_id, r.tgt_id), max(r.src_id, r.tgt_id)) for r in inner.collect()}))
 
 
 def local(ws: Workspace, request: QueryRequest, vector: Sequence[float]) -> Context:
     """Entities nearest to the query, and what is one step away."""
     seeds = _search(ws, "entities", vector, request.query, request.ll_keywords, request.top_k)
-    entity_scores, relation_scores = local_scores(ws, seeds)
-    entities = ranking.limit_entities(ranking.load_by_ids(entity_scores, ws.entities), request.max_entity_tokens)
-    relations = ranking.limit_relations(ranking.load_by_ids(relation_scores, ws.relations), request.max_relation_tokens)
-    chunks = ranking.load_by_ids(ranking.chunk_scores([entities, relations]), ws.chunks)
-    return Context(entities, relations, _filtered(ws, chunks, request.plan(), request.chunk_top_k))
+    entity_scores, near = local_scores(ws, seeds)
+    entities, relations = _entities(ws, entity_scores, request.max_entity_tokens), _relations(near, request.max_relation_tokens)
+    return Context(entities, relations, _filtered(ws, _chunks(ws, [entities, relations]), request.plan(), request.chunk_top_k))
 
 
 def global_(ws: Workspace, request: QueryRequest, vector: Sequence[float]) -> Context:
     """Relations nearest to the query, and their ends."""
-    found = _search(ws, "relations", vector, request.query, request.hl_keywords, request.top_k)
-    loaded = ranking.load_by_ids(found, ws.relations)
-    relations = ranking.limit_relations(loaded, request.max_relation_tokens)
+    found = _found(_search(ws, "relations", vector, request.query, request.hl_keywords, request.top_k))
+    loaded = ranking.with_ids(ws.relations, found).persist()  # at most top_k rows
+    relations = _relations(loaded, request.max_relation_tokens)
     ends = loaded.select(F.explode(F.array("src_id", "tgt_id")).alias("id"), "score")
-    entities = ranking.limit_entities(ranking.load_by_ids(ranking.best_scores(ends), ws.entities), request.max_entity_tokens)
-    chunks = ranking.load_by_ids(ranking.chunk_scores([relations]), ws.chunks)
-    return Context(entities, relations, _filtered(ws, chunks, request.plan(), request.chunk_top_k))
+    entities = _entities(ws, ranking.best_scores(ends), request.max_entity_tokens)
+    return Context(entities, relations, _filtered(ws, _chunks(ws, [relations]), request.plan(), request.chunk_top_k))
 
 
 def hybrid(ws: Workspace, request: QueryRequest, local_vector: Sequence[float], global_vector: Sequence[float] | None = None) -> Context:
@@ -171,12 +197,12 @@ def mix(ws: Workspace, request: QueryRequest, query_vector: Sequence[float], loc
         vectors = replace(ws, vectors=ws.vectors.where("namespace = 'chunks'").join(passing, "id", "left_semi"))
     asked, before = k, -1
     while True:
-        direct = _search(vectors, "chunks", query_vector, request.query, words, asked)
-        merged = filter_rows(ranking.pick_best([found.chunks, ranking.load_by_ids(direct, ws.chunks)]), plan)
+        direct = _found(_search(vectors, "chunks", query_vector, request.query, words, asked))
+        merged = filter_rows(ranking.pick_best([found.chunks, ranking.with_ids(ws.chunks, direct)]), plan)
         chunks = merged.orderBy(F.desc("score"), "id").limit(k)
         if plan.empty or prefilter:
             break
-        matched = direct.count()
+        matched = len(direct)
         if chunks.count() >= k or matched < asked or matched <= before:
             break
         asked, before = 2 * asked, matched
@@ -188,15 +214,13 @@ def one_shot_mix(ws: Workspace, request: QueryRequest, vectors: dict[str, Sequen
     """MIX with all three searches in one batch: scores flow one step from every seed, by the plain maximum."""
     keys = {"entities": request.ll_keywords, "relations": request.hl_keywords, "chunks": merge_keywords(request.ll_keywords, request.hl_keywords)}
     specs = [SearchSpec(n, n, vectors[n], request.query, merge_keywords(w, []), request.chunk_top_k if n == "chunks" else request.top_k) for n, w in keys.items()]
-    hits = batch_search(ws.vectors, specs)
-    of = lambda n: hits.where(F.col("key") == n).select("id", "score")
-    near = both_ways(ws.relations).join(of("entities").withColumnRenamed("id", "entity_id"), "entity_id")
-    relation_scores = ranking.best_scores(near.select(F.col("relation_id").alias("id"), "score").unionByName(of("relations")))
-    relations = ranking.load_by_ids(relation_scores, ws.relations)
-    ends = ranking.load_by_ids(of("relations"), ws.relations).select(F.explode(F.array("src_id", "tgt_id")).alias("id"), "score")
-    entity_scores = ranking.best_scores(near.select(F.col("neighbour_id").alias("id"), "score").unionByName(of("entities")).unionByName(ends))
-    entities = ranking.limit_entities(ranking.load_by_ids(entity_scores, ws.entities), request.max_entity_tokens)
-    relations = ranking.limit_relations(relations, request.max_relation_tokens)
-    from_graph = ranking.load_by_ids(ranking.chunk_scores([entities, relations]), ws.chunks)
-    chunks = filter_rows(ranking.pick_best([from_graph, ranking.load_by_ids(of("chunks"), ws.chunks)]), request.plan()).orderBy(F.desc("score"), "id").limit(request.chunk_top_k)
+    hits = batch_search(ws.vectors, specs).collect()  # at most k for each
+    of = lambda n: {r.id: r.score for r in hits if r.key == n}
+    entity_scores, near = _near(ws, of("entities"))
+    loaded = ranking.with_ids(ws.relations, of("relations")).select(*near.columns).persist()
+    relations = _relations(ranking.pick_best([near, loaded]), request.max_relation_tokens)
+    ends = loaded.select(F.explode(F.array("src_id", "tgt_id")).alias("id"), "score")
+    entities = _entities(ws, ranking.best_scores(entity_scores.unionByName(ends)), request.max_entity_tokens)
+    from_graph = _chunks(ws, [entities, relations])
+    chunks = filter_rows(ranking.pick_best([from_graph, ranking.with_ids(ws.chunks, of("chunks"))]), request.plan()).orderBy(F.desc("score"), "id").limit(request.chunk_top_k)
     return Context(entities, relations, chunks)

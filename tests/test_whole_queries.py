@@ -1,5 +1,6 @@
 """Queries that cover whole tables, against brute force on small ones."""
 
+import os
 from collections import defaultdict
 
 import pytest
@@ -107,3 +108,21 @@ def test_sparse_and_dense(spark, tmp_path):
         got = {(r.item_id, r.doc_id): r.score for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == pytest.approx(want, abs=2e-6)
     assert any(i not in sparse[q] for q, i in by_rank)  # found by vectors alone
+
+
+def test_filters_by_id_reach_the_scans(spark):
+    """What is known of a few ids comes from filtered scans, of which nothing is kept."""
+    from pyspark.sql import functions as F
+
+    from corvane.plans import retrieve
+    from corvane.queries import base
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables")
+    ws = base.workspace(spark, "/root/testdata/sf0.001")
+    assert not ws.entities.is_cached and not ws.relations.is_cached
+    ends = ws.entities.where(F.col("id").isin("part-1", "supplier-2")), retrieve._near(ws, {"part-1": 1.0, "part-2": 0.5})[1]
+    for rows, scans in zip(ends, (8, 4)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == scans and plan.count("DataFilters: []") == 0
+    assert retrieve.local(ws, retrieve.QueryRequest("x", mode="LOCAL", max_entity_tokens=60), base.asked_vector(spark, "/root/testdata/sf0.001")).entities.count() > 0
