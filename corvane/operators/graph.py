@@ -7,9 +7,12 @@ directions, so every step is an equi-join.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,8 +140,9 @@ def _key(name: str | None) -> str:
     return (name or "").strip().lower()
 
 
-def _parts(text: str) -> list[str]:
-    return [p for p in (re.sub(r"[\s_-]+", "_", x.strip()) for x in text.split(",")) if p]
+@lru_cache(4096)
+def _parts(text: str) -> tuple[str, ...]:
+    return tuple(p for p in (re.sub(r"[\s_-]+", "_", x.strip()) for x in text.split(",")) if p)
 
 
 class KeyTable:
@@ -212,10 +216,16 @@ def assemble(extractions: pd.DataFrame) -> tuple[list[dict], list[dict]]:
     ends.  The first spelling, type and description win; ends that no entity has are added.
     """
     rows = extractions.sort_values(["chunk_order", "chunk_id"])
-    relations = [(chunk, r) for chunk, own in zip(rows["chunk_id"], rows["relations"]) for r in own]
+    table, said = assembled(list(zip(rows["chunk_id"], rows["entities"], rows["relations"])))
+    return [table.fold(g) for g in table.said], [_edge(pair, own) for pair, own in said.items()]
+
+
+def assembled(rows: list[tuple]) -> tuple[KeyTable, dict[tuple[str, str], list]]:
+    """The groups of a document's names, and what is said of each pair of them, from (chunk_id, entities, relations) in order."""
+    relations = [(chunk, r) for chunk, _, own in rows for r in own]
     ends = [(_key(r["source"]), _key(r["target"])) for _, r in relations]
     table = KeyTable({frozenset(e) for e in ends if all(e) and e[0] != e[1]})
-    for chunk, own in zip(rows["chunk_id"], rows["entities"]):
+    for chunk, own, _ in rows:
         for x in own:
             aliases = x["aliases"] if x["aliases"] is not None else []
             told = tuple(a for a in aliases if _key(a) and frozenset((_key(x["name"]), _key(a))) not in table.apart)
@@ -225,21 +235,59 @@ def assemble(extractions: pd.DataFrame) -> tuple[list[dict], list[dict]]:
         a, b = (table.see(chunk, r[end]) for end in ("source", "target"))
         if a != b:
             said.setdefault((min(a, b), max(a, b)), []).append((chunk, r))
-    return [table.fold(g) for g in table.said], [_edge(pair, own) for pair, own in said.items()]
+    return table, said
 
 
 _NODE = "id:string,name:string,type:string,description:string,aliases:array<string>,source_chunk_ids:array<string>"
 _EDGE = "src_id:string,tgt_id:string,keywords:string,description:string,weight:double,source_chunk_ids:array<string>"
 
 
-def assemble_documents(extractions: DataFrame) -> DataFrame:
-    """document_id, entities, relations: each document's graph, assembled once.  A document's extractions must fit into a task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, edges = assemble(rows)
-        return pd.DataFrame({"document_id": [rows["document_id"].iloc[0]], "entities": [nodes], "relations": [edges]})
-
-    return extractions.groupBy("document_id").applyInPandas(run, f"document_id string, entities array<struct<{_NODE}>>, relations array<struct<{_EDGE}>>")
+_STRINGS = pa.list_(pa.string())
+_ARROW = {
+    "entities": pa.list_(pa.struct([("id", pa.string()), ("name", pa.string()), ("type", pa.string()), ("description", pa.string()), ("aliases", _STRINGS), ("source_chunk_ids", _STRINGS)])),
+    "relations": pa.list_(pa.struct([("src_id", pa.string()), ("tgt_id", pa.string()), ("keywords", pa.string()), ("description", pa.string()), ("weight", pa.float64()), ("source_chunk_ids", _STRINGS)])),
+}
+#: Rows that become Python objects at a time, and entities and relations that go out at a time.
+SLICE, ITEMS = 256, 20_000
+
+
+def assemble_documents(extractions: DataFrame, parts: tuple[str, ...] = ("entities", "relations")) -> DataFrame:
+    """document_id, entities, relations (or one of them): each document's graph, assembled once.  A document's extractions must fit into a task."""
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
+        name, own = None, []
+        for batch in batches:
+            for a in range(0, batch.num_rows, SLICE):
+                for r in batch.slice(a, SLICE).to_pylist():
+                    if r["place"] == 1 and own:
+                        yield name, own
+                        own = []
+                    name = r["document_id"]
+                    own.append((r["chunk_id"], r["entities"] or [], r["relations"] or []))
+        if own:
+            yield name, own
+
+    def pack(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.string(), *(_ARROW[p] for p in parts)])], ["document_id", *parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, n = [], 0
+        for name, own in documents(batches):
+            table, said = assembled(own)
+            graph = {"entities": lambda: [table.fold(g) for g in table.said], "relations": lambda: [_edge(pair, x) for pair, x in said.items()]}
+            out.append((name, *(graph[p]() for p in parts)))
+            n += sum(map(len, out[-1][1:]))
+            if n >= ITEMS:
+                yield pack(out)
+                out, n = [], 0
+        if out:
+            yield pack(out)
+
+    # the window leaves each document's rows together and in order, so tasks run through all of theirs in one go
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.asc_nulls_last("chunk_order"), F.asc_nulls_last("chunk_id")))
+    types = {"entities": f"array<struct<{_NODE}>>", "relations": f"array<struct<{_EDGE}>>"}
+    rows = extractions.select("document_id", "chunk_id", "entities", "relations", place.alias("place"))
+    return rows.mapInArrow(run, ", ".join(["document_id string", *(f"{p} {types[p]}" for p in parts)]))
 
 
 def entities_of(documents: DataFrame) -> DataFrame:
@@ -255,12 +303,12 @@ def relations_of(documents: DataFrame) -> DataFrame:
 
 def assemble_entities(extractions: DataFrame) -> DataFrame:
     """document_id and the entities of each document's graph."""
-    return entities_of(assemble_documents(extractions))
+    return entities_of(assemble_documents(extractions, ("entities",)))
 
 
 def assemble_relations(extractions: DataFrame) -> DataFrame:
     """document_id and the relations of each document's graph."""
-    return relations_of(assemble_documents(extractions))
+    return relations_of(assemble_documents(extractions, ("relations",)))
 
 
 # --- merging into what is stored --------------------------------------------------------------------

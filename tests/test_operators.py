@@ -478,3 +478,12 @@ def test_few_chunks_are_taken_off_where_rows_are(spark):
         assert ({x.id: x.source_chunk_ids for x in nodes.collect()}, {x.id: x.source_chunk_ids for x in edges.collect()}) == want
     finally:
         graph.LITERALS = most
+
+
+def test_assembly_runs_through_documents(spark):
+    """A task's documents go through one Arrow stream, each with its own chunks in order."""
+    rows = [(d, f"{d}-{i}", i, [("A", f"{d}{i}", "", [])], [("A", "B", "k", "", float(i))]) for i in (2, 0, 1) for d in ("x", "y", None)]
+    found = graph.assemble_documents(spark.createDataFrame(rows, EXTRACTION).coalesce(1))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.document_id: (r.entities[0].type, r.entities[0].source_chunk_ids, r.relations[0].weight) for r in found.collect()}
+    assert got == {d: (f"{d}0", [f"{d}-{i}" for i in range(3)], 2.0) for d in ("x", "y", None)}
