@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...schemas import CHUNK, LEVEL, PARENT, SEARCHABLE, SUMMARY
@@ -114,6 +115,30 @@ def chunk_text(doc_id: str, title: str, content: str, metadata: dict, options: C
 
 
 COLUMNS = ["id", "document_id", "text", "token_count", "chunk_order", "metadata"]
+TYPES = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()))
+#: Rows that become Python objects at a time, and characters and rows of chunks that go out at a time: batches grow with tables, these do not.
+SLICE, CHARS, ROWS = 64, 2_000_000, 2_000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The batches' rows as named tuples, of which few are Python objects at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield from batch.slice(a, SLICE).to_pandas(integer_object_nulls=True).itertuples(index=False)
+
+
+def parts_of(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of CHUNK in bounded batches."""
+    out, n = [], 0
+    pack = lambda: pa.RecordBatch.from_arrays([pa.array([list(v.items()) for v in c] if name == "metadata" else c, t) for c, name, t in zip(zip(*out), COLUMNS, TYPES)], COLUMNS)
+    for row in rows:
+        out.append(row)
+        n += len(row[2] or "")
+        if n > CHARS or len(out) >= ROWS:
+            yield pack()
+            out, n = [], 0
+    if out:
+        yield pack()
 
 
 def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
@@ -125,15 +150,11 @@ def chunk_documents(docs: DataFrame, options: ChunkOptions = ChunkOptions()) ->
     none = {"title": F.lit(""), "metadata": F.create_map().cast("map<string,string>")}
     rows = docs.select(*[F.col(c).cast("string").alias(c) if c == "id" else F.col(c) if c in docs.columns else none[c].alias(c) for c in names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                blocks = [Block(b["block_id"], b["block_type"], b["section_path"] or row.title or "", b["text"] or "") for b in row.blocks] if "blocks" in names and row.blocks is not None and len(row.blocks) else None
-                out += chunk_text(row.id, row.title or "", row.content or "", dict(row.metadata or {}), o, blocks)
-            yield pd.DataFrame(out, columns=COLUMNS)
+    def chunked(row) -> list[tuple]:
+        blocks = [Block(b["block_id"], b["block_type"], b["section_path"] or row.title or "", b["text"] or "") for b in row.blocks] if "blocks" in names and row.blocks is not None and len(row.blocks) else None
+        return chunk_text(row.id, row.title or "", row.content or "", dict(row.metadata or {}), o, blocks)
 
-    return rows.mapInPandas(run, CHUNK)
+    return rows.mapInArrow(lambda batches: parts_of(c for row in slices(batches) for c in chunked(row)), CHUNK)
 
 
 def chunk_with(docs: DataFrame, chunker: Callable[[str, str, str, dict], list[str]]) -> DataFrame:
@@ -156,20 +177,22 @@ def parents_and_children(chunks: DataFrame, window: int = 400, overlap: int = 40
     Children count their orders on after each other in the document.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out, n = [], 0
-        for r in rows.sort_values(["chunk_order", "id"]).itertuples(index=False):
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        n = 0
+        for r in rows:
+            n = 0 if r.place == 1 else n
             m = dict(r.metadata or {})
             about = texts.summary(r.text, m.get(SECTION, ""))
             m |= {LEVEL: "parent"} | ({SUMMARY: about} if about else {})
             what = texts.kind_of(r.text, m.get(KIND, ""))
-            out.append((r.id, r.document_id, r.text, r.token_count, r.chunk_order, m | ({SEARCHABLE: str(what == "caption").lower()} if enabled else {})))
+            yield (r.id, r.document_id, r.text, r.token_count, r.chunk_order, m | ({SEARCHABLE: str(what == "caption").lower()} if enabled else {}))
             for i, t in enumerate(texts.children(r.text, m.get(KIND, ""), window, overlap) if enabled else []):
-                out.append((f"{r.id}#child:{i}", r.document_id, t, len(t), n, m | {LEVEL: "child", PARENT: r.id, SEARCHABLE: "true"}))
+                yield (f"{r.id}#child:{i}", r.document_id, t, len(t), n, m | {LEVEL: "child", PARENT: r.id, SEARCHABLE: "true"})
                 n += 1
-        return pd.DataFrame(out, columns=COLUMNS)
 
-    return chunks.groupBy("document_id").applyInPandas(run, CHUNK)
+    # the window leaves each document's rows together and in order, so tasks run through all of theirs in one go
+    place = F.row_number().over(Window.partitionBy("document_id").orderBy(F.asc_nulls_last("chunk_order"), F.asc_nulls_last("id")))
+    return chunks.select(*COLUMNS, place.alias("place")).mapInArrow(lambda batches: parts_of(run(slices(batches))), CHUNK)
 
 
 def structured_blocks(docs: DataFrame) -> DataFrame:

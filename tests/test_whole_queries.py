@@ -126,3 +126,38 @@ def test_filters_by_id_reach_the_scans(spark):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == scans and plan.count("DataFilters: []") == 0
     assert retrieve.local(ws, retrieve.QueryRequest("x", mode="LOCAL", max_entity_tokens=60), base.asked_vector(spark, "/root/testdata/sf0.001")).entities.count() > 0
+
+
+def test_chunks_go_out_in_bounded_parts():
+    """However many documents a batch holds, few rows are Python objects at once."""
+    import pyarrow as pa
+
+    from corvane.operators.chunking import frames
+
+    rows = [(str(i), "d", "x" * 5000, None if i % 2 else 5, i, {"k": "v"} if i % 2 else {}) for i in range(5000)]
+    parts = list(frames.parts_of(iter(rows)))
+    assert max(p.num_rows for p in parts) <= 401 and sum(p.num_rows for p in parts) == len(rows)
+    assert [(r.id, r.token_count, dict(r.metadata)) for r in frames.slices(iter(parts))] == [(r[0], r[3], r[5]) for r in rows]
+    assert max(len(p) for p in frames.parts_of(("a", "d", "", 0, 0, {}) for _ in range(9000))) == frames.ROWS and isinstance(parts[0], pa.RecordBatch)
+
+
+def test_children_of_documents_in_one_task(spark):
+    """Children count on within a document and begin anew in the next; documents share an Arrow stream."""
+    from corvane.operators.chunking import frames
+
+    rows = [(f"{d}:{i}", d, f"{d} {i} " + "word " * 30, 150, i, {}) for i in (1, 0) for d in ("b", "a")]
+    found = frames.parents_and_children(spark.createDataFrame(rows, "id string, document_id string, text string, token_count int, chunk_order int, metadata map<string,string>").coalesce(1), 60, 5)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for d in "ab":
+        kids = [r for r in found.where(f"document_id = '{d}' AND id LIKE '%#child:%'").collect()]
+        assert [r.chunk_order for r in kids] == list(range(len(kids))) and len(kids) > 4 and kids[0].id == f"{d}:0#child:0"
+
+
+def test_strip_takes_off_white_space_of_unicode(spark):
+    """By a set of characters: no regular expression looks at every place of a text."""
+    from corvane.functions.text import strip
+
+    odd = "\t\x0b\x1c\u2003\u3000 "
+    rows = spark.createDataFrame([(odd + "a\u00a0 b" + odd,), (odd,), ("\u2007x\u00a0",), (None,)], "t string").select(strip("t").alias("s"))
+    assert [r.s for r in rows.collect()] == ["a\u00a0 b", "", "\u2007x\u00a0", None]
+    assert "regexp" not in rows._jdf.queryExecution().optimizedPlan().toString()
